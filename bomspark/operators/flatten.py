@@ -67,6 +67,20 @@ def _nested_start(docs: DataFrame, outer: Column, member: str, role: str, prefix
     )
 
 
+def _children(expr: str, step: str, role: str | None) -> Column:
+    """Array of (pointer step, position, role, variant) of one child list."""
+    role_col = F.lit(role) if role else F.col("role")
+    return F.transform(
+        F.coalesce(F.expr(expr), F.array().cast("array<variant>")),
+        lambda v, i: F.struct(F.lit(step).alias("step"), i.alias("i"), role_col.alias("role"), v.alias("v")),
+    )
+
+
+def _tagged(tag: str, name: str, items: Column, value: str, fn=lambda x: x) -> Column:
+    """Array of (tag, value) from an array; null reads as empty."""
+    return F.transform(items, lambda x: F.struct(F.lit(tag).alias(name), fn(x).alias(value)))
+
+
 def _levels(first: DataFrame, shape: str, children: list[tuple[str, str, str | None]]) -> DataFrame:
     """The level loop. ``children`` lists (expression over c giving
     array<variant>, pointer step, role or None for the parent's role)."""
@@ -76,15 +90,7 @@ def _levels(first: DataFrame, shape: str, children: list[tuple[str, str, str | N
         if depth and is_empty(level):
             return _union(levels)
         levels.append(level.withColumn("depth", F.lit(depth)))
-        kids = [
-            F.transform(
-                F.coalesce(F.expr(expr), F.array().cast("array<variant>")),
-                lambda v, i, step=step, role=role: F.struct(
-                    F.lit(step).alias("step"), i.alias("i"), (F.lit(role) if role else F.col("role")).alias("role"), v.alias("v")
-                ),
-            )
-            for expr, step, role in children
-        ]
+        kids = [_children(*child) for child in children]
         frontier = level.select(
             "bom_id", F.col("pointer").alias("parent_pointer"), F.col("c")["bom-ref"].alias("parent_ref"),
             F.explode(F.concat(*kids)).alias("k"), F.col("pointer").alias("_p"),
@@ -471,8 +477,7 @@ def explode_compositions(docs: DataFrame) -> DataFrame:
     c = docs.select("bom_id", F.posexplode("doc.compositions").alias("position", "c"))
     kinds = [("assembly", "assemblies"), ("dependency", "dependencies"), ("vulnerability", "vulnerabilities")]
     members = F.concat(*[
-        F.transform(F.coalesce(F.col("c")[m], F.array().cast("array<string>")), lambda r, k=k: F.struct(F.lit(k).alias("member_kind"), r.alias("ref")))
-        for k, m in kinds
+        _tagged(k, "member_kind", F.coalesce(F.col("c")[m], F.array().cast("array<string>")), "ref") for k, m in kinds
     ])
     return c.select(
         "bom_id", "position", F.coalesce("c.aggregate", F.lit("not_specified")).alias("aggregate"), F.inline(members)
@@ -752,9 +757,9 @@ def explode_data_governance(elements: DataFrame) -> DataFrame:
         "bom_id", at(F.col("owner_pointer"), "data", F.col("position")).alias("data_pointer"), F.col("owner_ref"), F.col("d.governance").alias("g")
     )
     roles = F.concat(*[
-        F.transform(
-            F.coalesce(F.col("g")[m], F.array().cast(f"array<{D.GOVERNANCE_PARTY}>")),
-            lambda p, r=m[:-1]: F.struct(F.lit(r).alias("role"), F.coalesce(p["organization"]["name"], p["contact"]["name"]).alias("party")),
+        _tagged(
+            m[:-1], "role", F.coalesce(F.col("g")[m], F.array().cast(f"array<{D.GOVERNANCE_PARTY}>")), "party",
+            lambda p: F.coalesce(p["organization"]["name"], p["contact"]["name"]),
         )
         for m in ("custodians", "stewards", "owners")
     ])
