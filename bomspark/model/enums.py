@@ -125,3 +125,48 @@ PATTERNS = {
 
 def anchored(name: str) -> str:
     return f"^(?:{PATTERNS[name]})$"
+
+# Spec version in which an enum value first appears; values not
+# listed are as old as the enum.
+VALUE_SINCE = {
+    "component_type": {
+        "file": "1.1", "container": "1.2", "firmware": "1.2", "platform": "1.5", "device-driver": "1.5",
+        "machine-learning-model": "1.5", "data": "1.5", "cryptographic-asset": "1.6",
+    },
+    "scope": {"excluded": "1.1"},
+    "hash_alg": {
+        "SHA3-384": "1.2", "BLAKE2b-256": "1.2", "BLAKE2b-384": "1.2", "BLAKE2b-512": "1.2", "BLAKE3": "1.2",
+        "Streebog-256": "1.7", "Streebog-512": "1.7",
+    },
+    "aggregate": {
+        "incomplete_first_party_proprietary_only": "1.5", "incomplete_first_party_opensource_only": "1.5",
+        "incomplete_third_party_proprietary_only": "1.5", "incomplete_third_party_opensource_only": "1.5",
+    },
+    "reference_type": {
+        "release-notes": "1.4", "source-distribution": "1.6", "electronic-signature": "1.6", "digital-signature": "1.6", "rfc-9116": "1.6",
+        "patent": "1.7", "patent-family": "1.7", "patent-assertion": "1.7", "citation": "1.7",
+        **dict.fromkeys(
+            "distribution-intake security-contact model-card log configuration evidence formulation attestation threat-model "
+            "adversary-model risk-assessment vulnerability-assertion exploitability-statement pentest-report static-analysis-report "
+            "dynamic-analysis-report runtime-analysis-report component-analysis-report maturity-report certification-report "
+            "quality-metrics codified-infrastructure poam".split(),
+            "1.5",
+        ),
+    },
+}
+
+# Spec version in which a member of an element first appears.
+MEMBER_SINCE = {
+    "document": {
+        "metadata": "1.2", "services": "1.2", "dependencies": "1.2", "externalReferences": "1.1", "compositions": "1.3",
+        "properties": "1.3", "vulnerabilities": "1.4", "annotations": "1.5", "formulation": "1.5", "declarations": "1.6",
+        "definitions": "1.6", "citations": "1.7",
+    },
+    "metadata": {"licenses": "1.3", "properties": "1.3", "lifecycles": "1.5", "manufacturer": "1.6", "distributionConstraints": "1.7"},
+    "component": {
+        "bom-ref": "1.1", "pedigree": "1.1", "externalReferences": "1.1", "evidence": "1.3", "properties": "1.3", "releaseNotes": "1.4",
+        "modelCard": "1.5", "data": "1.5", "cryptoProperties": "1.6", "manufacturer": "1.6", "authors": "1.6", "tags": "1.6",
+        "omniborId": "1.6", "swhid": "1.6", "versionRange": "1.7", "isExternal": "1.7", "patentAssertions": "1.7",
+    },
+    "service": {"properties": "1.3", "releaseNotes": "1.4", "trustZone": "1.5", "tags": "1.6", "patentAssertions": "1.7"},
+}

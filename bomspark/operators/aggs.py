@@ -3,12 +3,18 @@ group-bys, so the first one combines on the map side and no key is expanded."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from ..model import enums as en
 
 
+def exact_mean(c) -> Column:
+    """Mean whose sum is decimal: the same digits in any order of the rows."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.sum(col.cast("decimal(20,6)")).cast("double") / F.count(col)
+
+
 def inventory_counts(components: DataFrame, dims: list[str]) -> DataFrame:
     """Counts over every combination of the dimensions, totals marked by ``level``."""
     return components.cube(*dims).agg(F.count("*").alias("n"), F.grouping_id(*dims).alias("level"))
@@ -53,7 +59,7 @@ def severity_summary(vulns: DataFrame) -> DataFrame:
 
 def rating_consensus(ratings: DataFrame, key: str) -> DataFrame:
     return ratings.groupBy(key).agg(
-        F.max("score").alias("max_score"), F.round(F.avg("score"), 6).alias("mean_score"),
+        F.max("score").alias("max_score"), F.round(exact_mean("score"), 6).alias("mean_score"),
         F.round(F.max("score") - F.min("score"), 6).alias("spread"), F.count("*").alias("n_ratings"),
         F.count_distinct("source_name").alias("n_sources"),
     )
@@ -74,7 +80,7 @@ def open_exposure(components: DataFrame, vulns: DataFrame) -> DataFrame:
 def identity_confidence(methods: DataFrame, keys: list[str]) -> DataFrame:
     return methods.groupBy(*keys).agg(
         F.max_by("technique", F.struct("confidence", "technique")).alias("best_technique"),
-        F.max("confidence").alias("best_confidence"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.max("confidence").alias("best_confidence"), F.round(exact_mean("confidence"), 6).alias("mean_confidence"),
     )
 
 
@@ -120,13 +126,13 @@ def conformance_by_standard(maps: DataFrame, requirements: DataFrame) -> DataFra
     """Scores by requirement and level, with totals. Sums and counts are formed
     per requirement first."""
     per = maps.groupBy("requirement_id").agg(
-        F.sum("conformance_score").alias("_cs"), F.min("conformance_score").alias("_cm"),
-        F.sum("confidence_score").alias("_fs"), F.count("*").alias("_n"), F.count_if("counter_claim").alias("_cc"),
+        F.sum(F.col("conformance_score").cast("decimal(20,6)")).alias("_cs"), F.min("conformance_score").alias("_cm"),
+        F.sum(F.col("confidence_score").cast("decimal(20,6)")).alias("_fs"), F.count("*").alias("_n"), F.count_if("counter_claim").alias("_cc"),
     )
     j = per.join(requirements, "requirement_id")
     return j.rollup("level", "requirement_id").agg(
-        F.round(F.sum("_cs") / F.sum("_n"), 6).alias("mean_conformance"), F.round(F.min("_cm"), 6).alias("min_conformance"),
-        F.round(F.sum("_fs") / F.sum("_n"), 6).alias("mean_confidence"), F.sum("_cc").alias("n_counter_claims"),
+        F.round(F.sum("_cs").cast("double") / F.sum("_n"), 6).alias("mean_conformance"), F.round(F.min("_cm"), 6).alias("min_conformance"),
+        F.round(F.sum("_fs").cast("double") / F.sum("_n"), 6).alias("mean_confidence"), F.sum("_cc").alias("n_counter_claims"),
         F.grouping_id("level", "requirement_id").alias("grouping"),
     )
 
@@ -184,7 +190,7 @@ def flow_matrix(flows: DataFrame) -> DataFrame:
 
 def evidence_techniques(methods: DataFrame) -> DataFrame:
     return methods.groupBy("technique").agg(
-        F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence")
+        F.count("*").alias("n"), F.round(exact_mean("confidence"), 6).alias("mean_confidence")
     )
 
 
@@ -202,7 +208,7 @@ def model_metrics(metrics: DataFrame) -> DataFrame:
     width = num("upper_bound") - num("lower_bound")
     return metrics.groupBy("type", "slice").agg(
         F.count("*").alias("n"), F.count(num("value")).alias("n_numeric"),
-        F.round(F.avg(num("value")), 6).alias("mean_value"), F.round(F.avg(width), 6).alias("mean_width"),
+        F.round(exact_mean(num("value")), 6).alias("mean_value"), F.round(exact_mean(width), 6).alias("mean_width"),
     )
 
 

@@ -6,7 +6,8 @@ children, until a level is empty. Everything else is a projection with
 ``explode`` over the typed view of a document or of an element.
 
 Element frames have ``bom_id, pointer, parent_pointer, parent_ref, depth, role,
-c`` where ``c`` is the typed component (or service). Child tables carry
+c, members`` where ``c`` is the typed component (or service) and ``members``
+the names it really has. Child tables carry
 ``owner_pointer`` and ``owner_ref``.
 """
 
@@ -86,7 +87,8 @@ def _levels(first: DataFrame, shape: str, children: list[tuple[str, str, str | N
     array<variant>, pointer step, role or None for the parent's role)."""
     levels, depth, frontier = [], 0, first
     while True:
-        level = cut(frontier.withColumn("c", parsed(F.col("v"), shape)).drop("v"))
+        members = F.map_keys(F.try_variant_get("v", "$", "map<string, variant>"))
+        level = cut(frontier.select("*", parsed(F.col("v"), shape).alias("c"), members.alias("members")).drop("v"))
         if depth and is_empty(level):
             return _union(levels)
         levels.append(level.withColumn("depth", F.lit(depth)))

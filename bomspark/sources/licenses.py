@@ -30,7 +30,7 @@ FIRST_EXCEPTION = "389-exception"
 
 
 def read_license_list(
-    spark: SparkSession, path: str, row_tag: str = "xs:enumeration", first_exception: str = FIRST_EXCEPTION
+    spark: SparkSession, path: str, row_tag: str = "enumeration", first_exception: str = FIRST_EXCEPTION
 ) -> DataFrame:
     """``license_id, name, position, kind``: the licenses, then the exceptions,
     in the order of the file."""
