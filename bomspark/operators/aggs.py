@@ -40,8 +40,8 @@ def version_spread(components: DataFrame) -> DataFrame:
 
 def license_distribution(license_uses: DataFrame) -> DataFrame:
     per = license_uses.groupBy("license_id").agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("_t"))  # one row
-    return per.crossJoin(F.broadcast(total)).select("license_id", "n", F.round(F.col("n") / F.col("_t"), 6).alias("share"))
+    total = per.agg(F.sum("n").alias("_t")).scalar()
+    return per.select("license_id", "n", F.round(F.col("n") / total, 6).alias("share"))
 
 
 def license_families(components: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ LICENSE_WORDING = [
     ("GPL-3.0-only", r"GNU General Public License, version 3"),
     ("CC-BY-NC-4.0", r"CC BY-NC 4\.0"),
 ]
-COPYRIGHT = r"(?i)((?:copyright|\(c\)|©)[^\n]{0,200})"
+COPYRIGHT = r"(?i)((?:copyright|\(c\)|©)[^\n]*)"
 
 
 def observe_licenses(texts: DataFrame, wording: list[tuple[str, str]] = LICENSE_WORDING) -> DataFrame:

@@ -35,6 +35,6 @@ def read_license_list(
     """``license_id, name, position, kind``: the licenses, then the exceptions,
     in the order of the file."""
     out = dedupe_by_id(_entries(spark, path, row_tag))
-    start = out.filter(F.col("license_id") == first_exception).select(F.col("position").alias("_start"))
-    kind = F.when(F.col("position") >= F.col("_start"), "exception").otherwise("license")
-    return out.join(F.broadcast(start), how="left").withColumn("kind", kind).drop("_start").orderBy("position")
+    start = out.filter(F.col("license_id") == first_exception).agg(F.min("position")).scalar()
+    kind = F.when(F.col("position") >= start, "exception").otherwise("license")
+    return out.withColumn("kind", kind).orderBy("position")
