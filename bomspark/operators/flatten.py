@@ -6,8 +6,7 @@ children, until a level is empty. Everything else is a projection with
 ``explode`` over the typed view of a document or of an element.
 
 Element frames have ``bom_id, pointer, parent_pointer, parent_ref, depth, role,
-c, members`` where ``c`` is the typed component (or service) and ``members``
-the names it really has. Child tables carry
+c`` where ``c`` is the typed component (or service). Child tables carry
 ``owner_pointer`` and ``owner_ref``.
 """
 
@@ -42,29 +41,32 @@ def at(base: Column | str, *steps) -> Column:
     return F.concat(*parts)
 
 
-def _start(docs: DataFrame, items: Column, role: str, prefix: str) -> DataFrame:
-    """First level from an array<variant> of the document."""
-    return docs.select("bom_id", F.posexplode(items).alias("_i", "v")).select(
-        "bom_id", at(prefix, F.col("_i")).alias("pointer"), F.lit(None).cast("string").alias("parent_pointer"),
-        F.lit(None).cast("string").alias("parent_ref"), F.lit(role).alias("role"), "v",
+_ITEM = "array<struct<pointer string, role string, v variant>>"
+
+
+def _items(values: Column, role: str, prefix: Column | str) -> Column:
+    """Start items of one array<variant> of the document."""
+    return F.transform(
+        values, lambda v, i: F.struct(at(prefix, i).alias("pointer"), F.lit(role).alias("role"), v.alias("v"))
     )
 
 
-def _one(docs: DataFrame, item: Column, role: str, pointer: str) -> DataFrame:
-    return docs.select(
-        "bom_id", F.lit(pointer).alias("pointer"), F.lit(None).cast("string").alias("parent_pointer"),
-        F.lit(None).cast("string").alias("parent_ref"), F.lit(role).alias("role"), item.alias("v"),
-    ).filter("v IS NOT NULL")
+def _item(value: Column, role: str, pointer: Column | str) -> Column:
+    p = F.lit(pointer) if isinstance(pointer, str) else pointer
+    return F.when(value.isNotNull(), F.array(F.struct(p.alias("pointer"), F.lit(role).alias("role"), value.alias("v"))))
 
 
-def _nested_start(docs: DataFrame, outer: Column, member: str, role: str, prefix: str) -> DataFrame:
-    """First level from ``outer[i].member[j]``."""
-    return docs.select("bom_id", F.posexplode(outer).alias("_o", "_x")).select(
-        "bom_id", "_o", F.posexplode(F.col("_x")[member]).alias("_i", "v")
-    ).select(
-        "bom_id", at(prefix, F.col("_o"), member, F.col("_i")).alias("pointer"),
-        F.lit(None).cast("string").alias("parent_pointer"), F.lit(None).cast("string").alias("parent_ref"),
-        F.lit(role).alias("role"), "v",
+def _each(outer: Column, body) -> Column:
+    """Items of every entry of an outer array, flat."""
+    return F.flatten(F.transform(outer, lambda x, o: F.coalesce(body(x, o), F.array().cast(_ITEM))))
+
+
+def _starts(docs: DataFrame, parts: list[Column]) -> DataFrame:
+    """First level of all roles in one pass over the documents."""
+    every = F.concat(*[F.coalesce(p, F.array().cast(_ITEM)) for p in parts])
+    none = F.lit(None).cast("string")
+    return docs.select("bom_id", F.inline(every)).select(
+        "bom_id", "pointer", none.alias("parent_pointer"), none.alias("parent_ref"), "role", "v"
     )
 
 
@@ -82,13 +84,15 @@ def _tagged(tag: str, name: str, items: Column, value: str, fn=lambda x: x) -> C
     return F.transform(items, lambda x: F.struct(F.lit(tag).alias(name), fn(x).alias(value)))
 
 
-def _levels(first: DataFrame, shape: str, children: list[tuple[str, str, str | None]]) -> DataFrame:
+def _levels(first: DataFrame, shape: str, children: list[tuple[str, str, str | None]], with_members: bool) -> DataFrame:
     """The level loop. ``children`` lists (expression over c giving
     array<variant>, pointer step, role or None for the parent's role)."""
     levels, depth, frontier = [], 0, first
     while True:
-        members = F.map_keys(F.try_variant_get("v", "$", "map<string, variant>"))
-        level = cut(frontier.select("*", parsed(F.col("v"), shape).alias("c"), members.alias("members")).drop("v"))
+        level = frontier.withColumn("c", parsed(F.col("v"), shape))
+        if with_members:
+            level = level.withColumn("members", F.map_keys(F.try_variant_get("v", "$", "map<string, variant>")))
+        level = cut(level.drop("v"))
         if depth and is_empty(level):
             return _union(levels)
         levels.append(level.withColumn("depth", F.lit(depth)))
@@ -103,49 +107,52 @@ def _levels(first: DataFrame, shape: str, children: list[tuple[str, str, str | N
         depth += 1
 
 
-_NO_ROLES = ("main", "inventory", "tool", "formula", "target", "annotator")
+ROLES = ("main", "inventory", "tool", "formula", "target", "annotator")
 
 
-def component_elements(docs: DataFrame, roles: tuple[str, ...] = _NO_ROLES) -> DataFrame:
-    """Every component at any depth."""
+def _annotator(docs_col: Column, kind: str) -> Column:
+    return _each(docs_col, lambda a, i: _item(a["annotator"][kind], "annotator", at("/annotations", i, "annotator", kind)))
+
+
+def component_elements(docs: DataFrame, roles: tuple[str, ...] = ROLES, with_members: bool = False) -> DataFrame:
+    """Every component at any depth. ``with_members`` adds the member names
+    each element really has."""
     d = F.col("doc")
     tools = F.try_variant_get(d["metadata"]["tools"], "$.components", "array<variant>")
     starts = {
-        "main": lambda: _one(docs, d["metadata"]["component"], "main", "/metadata/component"),
-        "inventory": lambda: _start(docs, d["components"], "inventory", "/components"),
-        "tool": lambda: _start(docs, tools, "tool", "/metadata/tools/components"),
-        "formula": lambda: _nested_start(docs, d["formulation"], "components", "formula", "/formulation"),
-        "target": lambda: _start(docs, d["declarations"]["targets"]["components"], "target", "/declarations/targets/components"),
-        "annotator": lambda: _annotators(docs, "component"),
+        "main": lambda: _item(d["metadata"]["component"], "main", "/metadata/component"),
+        "inventory": lambda: _items(d["components"], "inventory", "/components"),
+        "tool": lambda: _items(tools, "tool", "/metadata/tools/components"),
+        "formula": lambda: _each(d["formulation"], lambda f, i: _items(f["components"], "formula", at("/formulation", i, "components"))),
+        "target": lambda: _items(d["declarations"]["targets"]["components"], "target", "/declarations/targets/components"),
+        "annotator": lambda: _annotator(d["annotations"], "component"),
     }
-    first = _union([starts[r]() for r in roles])
     pedigree = "try_variant_get(c.pedigree, '$.{}', 'array<variant>')"
     return _levels(
-        first, D.COMPONENT,
+        _starts(docs, [starts[r]() for r in roles]), D.COMPONENT,
         [("c.components", "components", None)]
         + [(pedigree.format(n), f"pedigree/{n}", n[:-1]) for n in ("ancestors", "descendants", "variants")],
+        with_members,
     )
 
 
-def _annotators(docs: DataFrame, kind: str) -> DataFrame:
-    return docs.select("bom_id", F.posexplode("doc.annotations").alias("_i", "a")).select(
-        "bom_id", at("/annotations", F.col("_i"), "annotator", kind).alias("pointer"),
-        F.lit(None).cast("string").alias("parent_pointer"), F.lit(None).cast("string").alias("parent_ref"),
-        F.lit("annotator").alias("role"), F.col("a.annotator")[kind].alias("v"),
-    ).filter("v IS NOT NULL")
-
-
-def service_elements(docs: DataFrame) -> DataFrame:
+def service_elements(docs: DataFrame, with_members: bool = False) -> DataFrame:
     d = F.col("doc")
     tools = F.try_variant_get(d["metadata"]["tools"], "$.services", "array<variant>")
-    first = _union([
-        _start(docs, d["services"], "inventory", "/services"),
-        _start(docs, tools, "tool", "/metadata/tools/services"),
-        _nested_start(docs, d["formulation"], "services", "formula", "/formulation"),
-        _start(docs, d["declarations"]["targets"]["services"], "target", "/declarations/targets/services"),
-        _annotators(docs, "service"),
+    first = _starts(docs, [
+        _items(d["services"], "inventory", "/services"), _items(tools, "tool", "/metadata/tools/services"),
+        _each(d["formulation"], lambda f, i: _items(f["services"], "formula", at("/formulation", i, "services"))),
+        _items(d["declarations"]["targets"]["services"], "target", "/declarations/targets/services"),
+        _annotator(d["annotations"], "service"),
     ])
-    return _levels(first, D.SERVICE, [("c.services", "services", None)])
+    return _levels(first, D.SERVICE, [("c.services", "services", None)], with_members)
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """The typed view without components and services, parsed once and
+    checkpointed, for operators that read several sections."""
+    names = [n for n in docs.schema["doc"].dataType.names if n not in ("components", "services")]
+    return cut(docs.select("bom_id", F.struct(*[F.col("doc")[n].alias(n) for n in names]).alias("doc")))
 
 
 # ------------------------------------------------------------------ tables
@@ -264,6 +271,7 @@ def _refs(frame: DataFrame, refs: Column, owner: Column, ref: Column) -> DataFra
 
 def explode_external_references(docs: DataFrame, components: DataFrame, services: DataFrame) -> DataFrame:
     """References of the document, components, services, claims, standards and patents."""
+    docs = sections(docs)
     none = F.lit(None).cast("string")
     own = lambda e: _refs(e, F.col("c.externalReferences"), F.col("pointer"), F.col("c")["bom-ref"])
 
@@ -292,6 +300,7 @@ def _props(frame: DataFrame, props: Column, owner: Column, ref: Column) -> DataF
 
 def explode_properties(docs: DataFrame, components: DataFrame, services: DataFrame) -> DataFrame:
     """Name/value rows in document order; names may repeat."""
+    docs = sections(docs)
     none = F.lit(None).cast("string")
     own = lambda e: _props(e, F.col("c.properties"), F.col("pointer"), F.col("c")["bom-ref"])
     vul = docs.select("bom_id", F.posexplode("doc.vulnerabilities").alias("_i", "x"))
@@ -779,6 +788,7 @@ def explode_data_flows(services: DataFrame) -> DataFrame:
 
 def explode_parties(docs: DataFrame, components: DataFrame, services: DataFrame) -> DataFrame:
     """Organizations and people with the part they play."""
+    docs = sections(docs)
     def org(frame: DataFrame, c: Column, role: str, owner: Column) -> DataFrame:
         return frame.filter(c.isNotNull()).select(
             "bom_id", owner.alias("owner_pointer"), F.lit(role).alias("role"), F.lit("organization").alias("kind"), c["name"].alias("name"),
@@ -845,6 +855,7 @@ def pointer_table(docs: DataFrame, max_depth: int = 1024) -> DataFrame:
 
 def bom_ref_index(docs: DataFrame, components: DataFrame, services: DataFrame) -> DataFrame:
     """Every declared ref with its element type and pointer."""
+    docs = sections(docs)
     def top(path: str, element: str, prefix: str) -> DataFrame:
         return docs.select("bom_id", F.posexplode(path).alias("_i", "x")).select(
             "bom_id", F.col("x")["bom-ref"].alias("ref"), F.lit(element).alias("element_type"), at(prefix, F.col("_i")).alias("pointer")
@@ -879,6 +890,7 @@ def bom_ref_index(docs: DataFrame, components: DataFrame, services: DataFrame) -
 
 def ref_use_index(docs: DataFrame, components: DataFrame) -> DataFrame:
     """Every in-document reference with the field that holds it."""
+    docs = sections(docs)
     def use(frame: DataFrame, field: str, target: Column) -> DataFrame:
         return frame.select("bom_id", F.lit(field).alias("field"), target.alias("target")).filter("target IS NOT NULL")
 

@@ -99,15 +99,24 @@ def package_versions(components: DataFrame) -> DataFrame:
     return components.groupBy("package_id", "version").agg(F.count("*").alias("n_components"))
 
 
+def with_version_key(df: DataFrame, out: str = "_k") -> DataFrame:
+    """Version keys are computed once per distinct version text."""
+    keys = df.select("version").distinct().withColumn(out, S.version_key("version"))
+    return df.join(keys, "version")
+
+
+def with_compiled_range(df: DataFrame, out: str = "_r") -> DataFrame:
+    """Ranges are compiled once per distinct range text."""
+    ranges = df.select("vers_range").distinct().withColumn(out, S.range_compiled("vers_range"))
+    return df.join(ranges, "vers_range")
+
+
 def match_vulnerabilities(components: DataFrame, vulns: DataFrame) -> DataFrame:
     """Package versions against version ranges. Both sides shrink to distinct
-    (package, version) and (package, range) with counts before they meet, and a
-    range is compiled once per row, not once per pair."""
-    pv = package_versions(components).withColumn("_k", S.version_key("version"))
-    rng = (
-        vulns.groupBy("package_id", "vers_range")
-        .agg(F.count("*").alias("n_vulns"), F.max("score").alias("max_score"))
-        .withColumn("_r", S.range_compiled("vers_range"))
+    (package, version) and (package, range) with counts before they meet."""
+    pv = with_version_key(package_versions(components))
+    rng = with_compiled_range(
+        vulns.groupBy("package_id", "vers_range").agg(F.count("*").alias("n_vulns"), F.max("score").alias("max_score"))
     )
     return (
         pv.join(rng, "package_id").filter(S.key_in_compiled(F.col("_k"), F.col("_r")))
@@ -125,8 +134,7 @@ def vulnerability_status(components: DataFrame, affects: DataFrame) -> DataFrame
     exact = pv.join(a.filter("version IS NOT NULL").select("package_id", "version", "status").distinct(), ["package_id", "version"])
     ranges = a.filter("vers_range IS NOT NULL").select("package_id", "vers_range", "status").distinct()
     ranged = (
-        pv.withColumn("_k", S.version_key("version"))
-        .join(ranges.withColumn("_r", S.range_compiled("vers_range")), "package_id")
+        with_version_key(pv).join(with_compiled_range(ranges), "package_id")
         .withColumn("_in", S.key_in_compiled(F.col("_k"), F.col("_r")))
         .filter(F.col("_in") | F.col("_in").isNull())
         .select("package_id", "version", F.when(F.col("_in"), F.col("status")).otherwise("unknown").alias("status"))

@@ -224,7 +224,8 @@ def _unknown(df: DataFrame, element: str, members: Column, pointer: Column) -> D
 
 
 def unknown_fields(docs: DataFrame, components: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
-    """Members an element does not have in the version of its document."""
+    """Members an element does not have in the version of its document.
+    Element frames are made ``with_members``."""
     keys = lambda path: F.map_keys(F.try_variant_get(F.try_parse_json("content"), path, "map<string, variant>"))
     d = docs.select("bom_id", F.col("doc.specVersion").alias("spec_version"), keys("$").alias("_d"), keys("$.metadata").alias("_m"))
     out = [_unknown(d, "document", F.col("_d"), F.lit("")), _unknown(d, "metadata", F.col("_m"), F.lit("/metadata"))]
@@ -298,7 +299,7 @@ def validate(docs: DataFrame, known_licenses: DataFrame | None = None, bom_forma
     # the typed view is parsed once and shared by all rules
     docs = cut(docs.filter(good).select("bom_id", "content", "doc"))
     ver = docs.select("bom_id", F.col("doc.specVersion").alias("spec_version"))
-    comp, serv = X.component_elements(docs), X.service_elements(docs)
+    comp, serv = X.component_elements(docs, with_members=True), X.service_elements(docs, with_members=True)
     table = X.flatten_components(comp).join(ver, "bom_id")
     d = F.col("doc")
     boms = docs.select(

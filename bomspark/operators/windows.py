@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .skew import newest_per_key, split_lag, split_running_sum
+from .skew import newest_per_key, split_lag
 
 
 def latest_bom(boms: DataFrame) -> DataFrame:
@@ -52,16 +52,20 @@ def rank_ratings(ratings: DataFrame, key: str) -> DataFrame:
 
 def component_timeline(presence: DataFrame) -> DataFrame:
     """Islands of consecutive document versions that hold a package.
-    ``presence(serial_number, package, version)``."""
-    p = presence.distinct()
-    lagged = split_lag(p, ["serial_number", "package"], ["version"], F.floor(F.col("version") / 64), {"prev": "version"})
-    start = F.when(F.col("prev").isNull() | (F.col("version") > F.col("prev") + 1), 1).otherwise(0)
-    isl = split_running_sum(
-        lagged, ["serial_number", "package"], ["version"], F.floor(F.col("version") / 64), start, "island"
+    ``presence(serial_number, package, version)``.
+
+    Each row says "here" for its version and "before" for the next one; where
+    both meet the island goes on. One aggregate finds the starts, with no
+    ordered window over a long history."""
+    marks = F.array(
+        F.struct(F.col("version").alias("v"), F.lit(True).alias("here")),
+        F.struct((F.col("version") + 1).alias("v"), F.lit(False).alias("here")),
     )
-    return isl.groupBy("serial_number", "package").agg(
-        F.min("version").alias("first_version"), F.max("version").alias("last_version"),
-        (F.max("island") - 1).cast("bigint").alias("reintroductions"),
+    at = presence.select("serial_number", "package", F.inline(marks)).groupBy("serial_number", "package", "v").agg(
+        F.bool_or("here").alias("here"), F.bool_and("here").alias("start")
+    )
+    return at.filter("here").groupBy("serial_number", "package").agg(
+        F.min("v").alias("first_version"), F.max("v").alias("last_version"), (F.count_if("start") - 1).alias("reintroductions")
     )
 
 
