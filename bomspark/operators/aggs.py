@@ -59,7 +59,7 @@ def severity_summary(vulns: DataFrame) -> DataFrame:
 
 def rating_consensus(ratings: DataFrame, key: str) -> DataFrame:
     return ratings.groupBy(key).agg(
-        F.max("score").alias("max_score"), F.round(exact_mean("score"), 6).alias("mean_score"),
+        F.max("score").alias("max_score"), F.round(exact_mean("score"), 10).alias("mean_score"),
         F.round(F.max("score") - F.min("score"), 6).alias("spread"), F.count("*").alias("n_ratings"),
         F.count_distinct("source_name").alias("n_sources"),
     )
@@ -80,7 +80,7 @@ def open_exposure(components: DataFrame, vulns: DataFrame) -> DataFrame:
 def identity_confidence(methods: DataFrame, keys: list[str]) -> DataFrame:
     return methods.groupBy(*keys).agg(
         F.max_by("technique", F.struct("confidence", "technique")).alias("best_technique"),
-        F.max("confidence").alias("best_confidence"), F.round(exact_mean("confidence"), 6).alias("mean_confidence"),
+        F.max("confidence").alias("best_confidence"), F.round(exact_mean("confidence"), 10).alias("mean_confidence"),
     )
 
 
@@ -131,8 +131,8 @@ def conformance_by_standard(maps: DataFrame, requirements: DataFrame) -> DataFra
     )
     j = per.join(requirements, "requirement_id")
     return j.rollup("level", "requirement_id").agg(
-        F.round(F.sum("_cs").cast("double") / F.sum("_n"), 6).alias("mean_conformance"), F.round(F.min("_cm"), 6).alias("min_conformance"),
-        F.round(F.sum("_fs").cast("double") / F.sum("_n"), 6).alias("mean_confidence"), F.sum("_cc").alias("n_counter_claims"),
+        F.round(F.sum("_cs").cast("double") / F.sum("_n"), 10).alias("mean_conformance"), F.round(F.min("_cm"), 6).alias("min_conformance"),
+        F.round(F.sum("_fs").cast("double") / F.sum("_n"), 10).alias("mean_confidence"), F.sum("_cc").alias("n_counter_claims"),
         F.grouping_id("level", "requirement_id").alias("grouping"),
     )
 
@@ -190,7 +190,7 @@ def flow_matrix(flows: DataFrame) -> DataFrame:
 
 def evidence_techniques(methods: DataFrame) -> DataFrame:
     return methods.groupBy("technique").agg(
-        F.count("*").alias("n"), F.round(exact_mean("confidence"), 6).alias("mean_confidence")
+        F.count("*").alias("n"), F.round(exact_mean("confidence"), 10).alias("mean_confidence")
     )
 
 
@@ -208,7 +208,7 @@ def model_metrics(metrics: DataFrame) -> DataFrame:
     width = num("upper_bound") - num("lower_bound")
     return metrics.groupBy("type", "slice").agg(
         F.count("*").alias("n"), F.count(num("value")).alias("n_numeric"),
-        F.round(exact_mean(num("value")), 6).alias("mean_value"), F.round(exact_mean(width), 6).alias("mean_width"),
+        F.round(exact_mean(num("value")), 6).alias("mean_value"), F.round(exact_mean(width), 10).alias("mean_width"),
     )
 
 

@@ -72,7 +72,7 @@ def _(t):
 
 @query(
     "rating_consensus",
-    """SELECT package_id, max(score) AS max_score, round(CAST(sum(CAST(score AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_score, round(max(score) - min(score), 6) AS spread, count(*) AS n_ratings,
+    """SELECT package_id, max(score) AS max_score, round(CAST(sum(CAST(score AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 10) AS mean_score, round(max(score) - min(score), 6) AS spread, count(*) AS n_ratings,
 count(DISTINCT source_name) AS n_sources FROM vulnerability GROUP BY 1""",
     "vulnerability",
 )
@@ -111,8 +111,8 @@ def _(t):
 
 @query(
     "conformance_by_standard",
-    """SELECT p_brand AS level, requirement_id, round(CAST(sum(CAST(conformance_score AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_conformance, round(min(conformance_score), 6) AS min_conformance,
-round(CAST(sum(CAST(confidence_score AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_confidence, count(*) FILTER (counter_claim) AS n_counter_claims,
+    """SELECT p_brand AS level, requirement_id, round(CAST(sum(CAST(conformance_score AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 10) AS mean_conformance, round(min(conformance_score), 6) AS min_conformance,
+round(CAST(sum(CAST(confidence_score AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 10) AS mean_confidence, count(*) FILTER (counter_claim) AS n_counter_claims,
 CAST(grouping(p_brand) * 2 + grouping(requirement_id) AS BIGINT) AS grouping
 FROM attestation_map JOIN part ON p_partkey = requirement_id GROUP BY ROLLUP (p_brand, requirement_id)""",
     "attestation_map",

@@ -696,8 +696,8 @@ def _(t):
 
 @doc_query(
     "model_metrics",
-    """SELECT 'accuracy' AS type, p_type AS slice, count(*) AS n, count(*) FILTER (p_partkey % 10 <> 0) AS n_numeric, round(avg(p_size * 2) FILTER (p_partkey % 10 <> 0), 6) AS mean_value,
-round(avg(p_partkey % 3), 6) AS mean_width FROM part GROUP BY 2""",
+    """SELECT 'accuracy' AS type, p_type AS slice, count(*) AS n, count(*) FILTER (p_partkey % 10 <> 0) AS n_numeric, round(avg(p_size * 2) FILTER (p_partkey % 10 <> 0), 10) AS mean_value,
+round(avg(p_partkey % 3), 10) AS mean_width FROM part GROUP BY 2""",
 )
 def _(t):
     return A.model_metrics(_models(C.model_docs(t))["model_metric"])
@@ -784,7 +784,7 @@ def _(t):
     "identity_confidence",
     f"""m AS (SELECT l_partkey, {TECH} AS technique, l_discount * 10 AS confidence FROM lineitem UNION ALL SELECT l_partkey, 'other', l_tax FROM lineitem)
 SELECT concat('n-', CAST(l_partkey AS VARCHAR)) AS name, arg_max(technique, {{'c': confidence, 't': technique}}) AS best_technique, max(confidence) AS best_confidence,
-round(CAST(sum(CAST(confidence AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_confidence FROM m GROUP BY 1""",
+round(CAST(sum(CAST(confidence AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 10) AS mean_confidence FROM m GROUP BY 1""",
 )
 def _(t):
     el = ev(t)
@@ -796,7 +796,7 @@ def _(t):
 @doc_query(
     "evidence_techniques",
     f"""m AS (SELECT {TECH} AS technique, l_discount * 10 AS confidence FROM lineitem UNION ALL SELECT 'other', l_tax FROM lineitem)
-SELECT technique, count(*) AS n, round(CAST(sum(CAST(confidence AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 6) AS mean_confidence FROM m GROUP BY 1""",
+SELECT technique, count(*) AS n, round(CAST(sum(CAST(confidence AS DECIMAL(18, 6))) AS DOUBLE) / count(*), 10) AS mean_confidence FROM m GROUP BY 1""",
 )
 def _(t):
     return A.evidence_techniques(X.evidence_methods(X.evidence_identity(ev(t))))
