@@ -208,7 +208,7 @@ def model_metrics(metrics: DataFrame) -> DataFrame:
     width = num("upper_bound") - num("lower_bound")
     return metrics.groupBy("type", "slice").agg(
         F.count("*").alias("n"), F.count(num("value")).alias("n_numeric"),
-        F.round(exact_mean(num("value")), 6).alias("mean_value"), F.round(exact_mean(width), 10).alias("mean_width"),
+        F.round(exact_mean(num("value")), 10).alias("mean_value"), F.round(exact_mean(width), 10).alias("mean_width"),
     )
 
 
