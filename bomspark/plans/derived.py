@@ -94,6 +94,9 @@ class Tables:
     """Lazy views over one scale-factor folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        # the tables hold zone-less times; documents carry them as UTC
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.sf_dir = sf_dir
 
