@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, pii, quality, sql
+from . import ann, decontaminate, licenses, minhash, packing, pii, quality, sql, urls, warc
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -36,7 +52,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_minhash_near_dedup, op6_pii, op7_decontaminate, op8_best_fit_packing, op10_quality, pipeline)
+_ALL = (
+    op1_license_scan,
+    op2_minhash_near_dedup,
+    op3_url_filter,
+    op5_warc,
+    op6_pii,
+    op7_decontaminate,
+    op8_best_fit_packing,
+    op9_nearest_vectors,
+    op10_quality,
+    pipeline,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+
+_PATTERNS = " ".join(f"when regexp_matches(url, '{r.pattern}') then '{r.name}'" for r in urls.PATTERN_RULES)
+ORACLE: dict[str, str] = {
+    "op1_license_scan": licenses.oracle(),
+    "op2_minhash_near_dedup": sql.NEAR_DUPLICATES.replace("DOCS", "documents"),
+    "op3_url_filter": sql.URL_VERDICTS.replace("PATTERNS", _PATTERNS),
+    "op5_warc": sql.WARC_ROUND_TRIP,
+    "op9_nearest_vectors": sql.NEAREST_VECTORS,
 }
-ORACLE: dict[str, str] = {"op2_minhash_near_dedup": sql.NEAR_DUPLICATES.replace("DOCS", "documents")}

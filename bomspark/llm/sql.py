@@ -14,3 +14,35 @@ l as (select a, b from e union select b, a from e),
 r as (select doc_id, doc_id as root from w union select l.b, r.root from r join l on l.a = r.doc_id and r.root < l.b)
 select doc_id, min(root) as class_id from r group by doc_id
 """
+
+NEAREST_VECTORS = """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, rank, vec_id, score from (
+  select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 20
+"""
+
+URL_VERDICTS = r"""
+with u as (select page_id, coalesce(url, '') as url, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select *, regexp_extract(rest, '^[^/?#]*') as raw from u),
+p as (select page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from h),
+r as (select *, case
+    when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
+    when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
+    when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule,
+  case PATTERNS end as pattern from p)
+select page_id, host, path, rule, case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+  when pattern is not null then 'block' else 'allow' end as verdict, pattern from r
+"""
+
+WARC_ROUND_TRIP = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, strlen(payload) as payload_bytes, sha1(payload) as payload_digest from p),
+h as (select *, max(page_id) over (partition by payload_digest) as head from d)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id < head then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id < head then head end as refers_to, true as intact from h
+"""
