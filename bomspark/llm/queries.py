@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, licenses, minhash, packing, pii, quality, sql, urls, warc
+from . import ann, decontaminate, licenses, minhash, packing, pii, quality, sql, substrings, urls, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ _ALL = (
     op1_license_scan,
     op2_minhash_near_dedup,
     op3_url_filter,
+    op4_suffix_dedup,
     op5_warc,
     op6_pii,
     op7_decontaminate,
