@@ -27,6 +27,14 @@ def raw(text: str | Column = "text", lower: bool = False) -> Column:
     return (F.lower(text) if lower else text).cast("binary")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_views(column: pa.Array, limit: int = PART_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a binary column: (first row, end row, bytes, offsets of
     the rows in them and the end), each of about ``limit`` bytes."""

@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import byte_views, raw, words
+from .common import byte_views, raw, unused, words
 
 #: Items searched in one pass over the documents. More items take more passes.
 ITEMS_PER_BLOCK = 2_000
@@ -279,5 +279,6 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, same columns."""
-    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "_bad")
+    bad = matches(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -8,8 +8,10 @@ the bigrams of the smaller. DataFrame functions only; no row is moved.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -34,9 +36,8 @@ class Template:
 
     def bounds(self, similarity: float) -> tuple[int, int]:
         """Bigrams that a unit has at least and at most."""
-        n = len(self.bigrams)
-        low = -(-n * similarity // (2 - similarity))
-        return max(1, int(low)), int(n * (2 - similarity) / similarity)
+        n, share = len(self.bigrams), Fraction(str(similarity))
+        return max(1, math.ceil(n * share / (2 - share))), math.floor(n * (2 - share) / share)
 
 
 STANDARD = tuple(Template(name, license, text) for name, license, text in TEMPLATES)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from bomspark.session import cut
 
-from .common import byte_views, components, mix, raw, shingles, words
+from .common import byte_views, components, mix, raw, shingles, unused, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -177,7 +177,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest doc_id of their class, same
     columns; of rows that repeat a doc_id one stays."""
-    first = classes(docs, **options).where("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    held = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    name = unused(docs, "_kept")
+    first = classes(docs, **options).where("doc_id = class_id or doc_id is null").select(F.col("doc_id").alias(name)).distinct()
+    held = docs.join(first, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
     repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
     return held.where("doc_id is not null").dropDuplicates(["doc_id"]).union(held.where("doc_id is null")) if repeats else held
