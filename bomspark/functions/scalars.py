@@ -62,14 +62,14 @@ def purl_parts(col: Col) -> Column:
 
 
 def purl_without_version(col: Col) -> Column:
-    return F.regexp_replace(_c(col), r"@[^?#/]*|[?#].*$", "")
+    return F.regexp_replace(F.regexp_replace(_c(col), r"[?#].*$", ""), r"@[^@/]*$", "")
 
 
 def cpe_parts(col: Col) -> Column:
     """Fields of a 2.2 (``cpe:/``) or 2.3 name; ``\\:`` does not split."""
     c = _c(col)
     new = c.startswith("cpe:2.3:")
-    body = F.when(new, F.substring(c, 9, 100000)).otherwise(F.regexp_replace(c, "^(?i)cpe:/", ""))
+    body = F.when(new, c.substr(F.lit(9), F.length(c))).otherwise(F.regexp_replace(c, "^(?i)cpe:/", ""))
     parts = F.split(body, r"(?<!\\):")
     names = "part vendor product version update edition language".split()
     more = "sw_edition target_sw target_hw other".split()
@@ -114,21 +114,22 @@ _VERSION = r"^[vV]?(\d+(?:\.\d+)*)[.\-_]?([^+]*)"
 
 
 def version_key(col: Col) -> Column:
-    """Sortable key ``struct<n array<bigint>, p array<string>>``: numbers with
-    trailing zeros removed and an end mark (-1 release, -2 pre-release), then
-    the pre-release words, numbers padded. Null when there is no number or one
-    of more than 18 digits."""
+    """Sortable key ``struct<n array<struct<size int, digits string>>, p
+    array<string>>``: numbers of any length as (digits, how many), trailing
+    zeros removed, and an end mark (size -1 release, -2 pre-release), then the
+    pre-release words, numbers led by their length. Null without a number."""
     c = F.trim(_c(col))
 
     def key(s: Column) -> Column:
-        nums = F.transform(F.split(F.regexp_replace(s["core"], r"(?:\.0+)+$", ""), r"\."), lambda x: x.cast("bigint"))
+        plain = lambda x: F.regexp_replace(x, r"^0+(?=[0-9])", "")
+        sized = lambda x: F.struct(F.length(x).alias("size"), x.alias("digits"))
+        nums = F.transform(F.split(F.regexp_replace(s["core"], r"(?:\.0+)+$", ""), r"\."), lambda x: sized(plain(x)))
         words = F.transform(
             F.regexp_extract_all(s["pre"], F.lit(r"([0-9]+|[a-z]+)"), 1),
-            lambda w: F.when(w.rlike("^[0-9]"), F.lpad(w, 18, "0")).otherwise(w),
+            lambda w: F.when(w.rlike("^[0-9]"), F.concat(F.lpad(F.length(plain(w)).cast("string"), 10, "0"), plain(w))).otherwise(w),
         )
-        end = F.array(F.when(s["pre"] == "", F.lit(-1)).otherwise(F.lit(-2)).cast("bigint"))
-        usable = (s["core"] != "") & ~s["core"].rlike("[0-9]{19}")
-        return F.when(usable, F.struct(F.concat(nums, end).alias("n"), words.alias("p")))
+        end = F.array(F.struct(F.when(s["pre"] == "", F.lit(-1)).otherwise(F.lit(-2)).alias("size"), F.lit("").alias("digits")))
+        return F.when(s["core"] != "", F.struct(F.concat(nums, end).alias("n"), words.alias("p")))
 
     cut = F.struct(
         F.regexp_extract(c, _VERSION, 1).alias("core"), F.lower(F.regexp_extract(c, _VERSION, 2)).alias("pre")

@@ -18,8 +18,8 @@ BODIES: dict[str, tuple[str, str, str]] = {
     "severity_rank": ("s STRING", "INT", _case(en.SEVERITY_ORDER, "s")),
     "tlp_rank": ("s STRING", "INT", _case(en.TLP, "s")),
     "aggregate_rank": ("s STRING", "INT", _case(en.AGGREGATE_ORDER, "s")),
-    "purl_without_version": ("p STRING", "STRING", "regexp_replace(p, '@[^?#/]*|[?#].*$', '')"),
-    "purl_version": ("p STRING", "STRING", "nullif(regexp_extract(p, '@([^?#/]*)', 1), '')"),
+    "purl_without_version": ("p STRING", "STRING", "regexp_replace(regexp_replace(p, '[?#].*$', ''), '@[^@/]*$', '')"),
+    "purl_version": ("p STRING", "STRING", "nullif(regexp_extract(regexp_replace(p, '[?#].*$', ''), '@([^@/]*)$', 1), '')"),
     "serial_uuid": ("s STRING", "STRING", f"nullif(regexp_extract(s, '^(?:urn:uuid:|[{{])({_UUID})[}}]?$', 1), '')"),
     "norm_hash": ("h STRING", "STRING", "lower(trim(h))"),
     "net_co2": ("cost DOUBLE, off DOUBLE", "DOUBLE", "cost - coalesce(off, 0.0D)"),

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import udtf
 
-_KEY = "struct<n array<bigint>, p array<string>>"
+_KEY = "struct<n array<struct<size int, digits string>>, p array<string>>"
 _SCHEMES: dict[str, Callable[[str], tuple[list[int], list[str]] | None]] = {}
 
 
@@ -27,7 +27,8 @@ def version_key_scheme(scheme: str) -> Callable[[Column], Column]:
     def run(versions: pd.Series) -> pd.DataFrame:
         got = {v: key(v) if v is not None else None for v in versions.unique()}
         pairs = [got[v] or (None, None) for v in versions]
-        return pd.DataFrame({"n": [p[0] for p in pairs], "p": [p[1] for p in pairs]})
+        sized = lambda n: None if n is None else [{"size": len(str(x)) if x >= 0 else x, "digits": str(x) if x >= 0 else ""} for x in n]
+        return pd.DataFrame({"n": [sized(p[0]) for p in pairs], "p": [p[1] for p in pairs]})
 
     return run
 

@@ -10,9 +10,12 @@ from ..model import enums as en
 
 
 def exact_mean(c) -> Column:
-    """Mean whose sum is decimal: the same digits in any order of the rows."""
+    """Mean whose sum is decimal, the same digits in any order of the rows,
+    where the values are decimals of at most 12 places; else the plain mean."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.sum(col.cast("decimal(20,6)")).cast("double") / F.count(col)
+    wide = F.when(F.abs(col) < 1e15, col.try_cast("decimal(38,12)"))
+    other = F.count_if(col.isNotNull() & ~F.coalesce(wide.cast("double") == col, F.lit(False)))
+    return F.when(other == 0, F.sum(wide).cast("double") / F.count(col)).otherwise(F.avg(col))
 
 
 def inventory_counts(components: DataFrame, dims: list[str]) -> DataFrame:
@@ -126,8 +129,8 @@ def conformance_by_standard(maps: DataFrame, requirements: DataFrame) -> DataFra
     """Scores by requirement and level, with totals. Sums and counts are formed
     per requirement first."""
     per = maps.groupBy("requirement_id").agg(
-        F.sum(F.col("conformance_score").cast("decimal(20,6)")).alias("_cs"), F.min("conformance_score").alias("_cm"),
-        F.sum(F.col("confidence_score").cast("decimal(20,6)")).alias("_fs"), F.count("*").alias("_n"), F.count_if("counter_claim").alias("_cc"),
+        F.sum(F.col("conformance_score").cast("decimal(38,12)")).alias("_cs"), F.min("conformance_score").alias("_cm"),
+        F.sum(F.col("confidence_score").cast("decimal(38,12)")).alias("_fs"), F.count("*").alias("_n"), F.count_if("counter_claim").alias("_cc"),
     )
     j = per.join(requirements, "requirement_id")
     return j.rollup("level", "requirement_id").agg(
@@ -153,7 +156,7 @@ def supplier_concentration(components: DataFrame) -> DataFrame:
     # sum(share^2) = sum(n^2) / sum(n)^2: no second pass over the rows
     return per.groupBy("type").agg(
         F.count("*").alias("n_suppliers"), F.round(F.max("n") / F.sum("n"), 6).alias("top_share"),
-        F.round(F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n")), 6).alias("herfindahl"),
+        F.round(F.sum(F.col("n").cast("double") * F.col("n")) / (F.sum("n").cast("double") * F.sum("n")), 6).alias("herfindahl"),
     )
 
 

@@ -830,21 +830,21 @@ def explode_citations(docs: DataFrame) -> DataFrame:
     )
 
 
-def pointer_table(docs: DataFrame, max_depth: int = 1024) -> DataFrame:
+def pointer_table(docs: DataFrame) -> DataFrame:
     """(pointer, key, value type, scalar value) of every node of a document,
     by a level loop over ``variant_explode``."""
     frontier = docs.select("bom_id", F.lit("").alias("pointer"), F.lit(None).cast("string").alias("key"), F.try_parse_json("content").alias("v"))
     levels: list[DataFrame] = []
-    for _ in range(max_depth):
+    while True:
         level = cut(frontier.filter("v IS NOT NULL").withColumn("_t", F.schema_of_variant("v")))
         if is_empty(level):
             break
         levels.append(level)
-        level.createOrReplaceTempView("_bomspark_level")
         step = "replace(replace(coalesce(e.key, CAST(e.pos AS STRING)), '~', '~0'), '/', '~1')"
         frontier = docs.sparkSession.sql(
-            f"SELECT l.bom_id, concat(l.pointer, '/', {step}) AS pointer, e.key AS key, e.value AS v "
-            "FROM _bomspark_level l, LATERAL variant_explode(l.v) e WHERE l._t LIKE 'OBJECT%' OR l._t LIKE 'ARRAY%'"
+            "SELECT l.bom_id, concat(l.pointer, '/', " + step + ") AS pointer, e.key AS key, e.value AS v "
+            "FROM {level} l, LATERAL variant_explode(l.v) e WHERE l._t LIKE 'OBJECT%' OR l._t LIKE 'ARRAY%'",
+            level=level,
         )
     kind = F.when(F.col("_t").startswith("OBJECT"), "object").when(F.col("_t").startswith("ARRAY"), "array").otherwise("scalar")
     scalar = F.when(kind == "scalar", F.try_variant_get("v", "$", "string"))

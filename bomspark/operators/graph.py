@@ -178,24 +178,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def longest_levels(edges: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def longest_levels(edges: DataFrame) -> DataFrame:
     """Topological level of each node of an acyclic graph: the longest path
-    from a root. A node's level is the last round that reaches it."""
-    e = cut(edges.select("src", "dst").distinct())
-    frontier = cut(graph_roots(e))
-    if is_empty(frontier) and not is_empty(e):
-        raise ValueError("graph has no root, so it has a cycle")
-    levels = [frontier.withColumn("level", F.lit(0))]
+    from a root. A round takes the nodes without a way in and the edges that
+    leave them; what is left without such a node has a cycle."""
+    rest = cut(edges.select("src", "dst").distinct())
+    nodes = rest.select(F.col("src").alias("node")).union(rest.select("dst")).distinct()
+    open_ = cut(nodes.join(rest.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ways")), "node", "left").select("node", F.coalesce("ways", F.lit(0)).alias("ways")))
+    levels: list[DataFrame] = []
     while True:
-        frontier = cut(
-            e.join(frontier, e.src == frontier.node, "left_semi").select(F.col("dst").alias("node")).distinct()
-        )
-        if is_empty(frontier):
+        now = cut(open_.filter("ways = 0").select("node"))
+        if is_empty(now):
             break
-        if len(levels) > max_levels:
-            raise ValueError(f"path longer than {max_levels} steps: the graph has a cycle")
-        levels.append(frontier.withColumn("level", F.lit(len(levels))))
-    return _union(levels).groupBy("node").agg(F.max("level").alias("level"))
+        levels.append(now.withColumn("level", F.lit(len(levels))))
+        fewer = rest.join(now, rest.src == now.node, "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("less"))
+        open_ = cut(
+            open_.filter("ways > 0").join(fewer, "node", "left").select("node", (F.col("ways") - F.coalesce("less", F.lit(0))).alias("ways"))
+        )
+    if not is_empty(open_):
+        raise ValueError("the graph has a cycle")
+    return _union(levels) if levels else open_.select("node", F.lit(0).alias("level"))
 
 
 def ancestor_chain(parents: DataFrame, key: list[Column] | None = None) -> DataFrame:

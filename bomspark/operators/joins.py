@@ -218,24 +218,36 @@ def bom_as_of_each(points: DataFrame, boms: DataFrame, bucket: str = "month") ->
     )
 
 
+def _covers(start: str, end: str, lo: Column, hi: Column) -> Column:
+    """Interval and [lo, hi] overlap; a null bound is open."""
+    return (F.col(start).isNull() | (F.col(start) <= hi)) & (F.col(end).isNull() | (F.col(end) >= lo))
+
+
 def valid_at(intervals: DataFrame, start: str, end: str, at: Column) -> DataFrame:
-    return intervals.filter((F.col(start) <= at) & (F.col(end) >= at))
+    return intervals.filter(_covers(start, end, at, at))
 
 
 def valid_during(intervals: DataFrame, start: str, end: str, lo: Column, hi: Column) -> DataFrame:
     """Intervals that overlap [lo, hi]."""
-    return intervals.filter((F.col(start) <= hi) & (F.col(end) >= lo))
+    return intervals.filter(_covers(start, end, lo, hi))
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, start: str, end: str, at: str = "at") -> DataFrame:
-    """Points inside intervals of the same key: equi join on (key, month), the
-    intervals repeated per month they touch, then the exact condition."""
-    months = F.explode(
-        F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("INTERVAL 1 MONTH"))
-    )
-    iv = intervals.withColumn("_m", months)
-    pt = points.withColumn("_m", F.trunc(at, "month"))
-    return pt.join(iv, [key, "_m"]).filter((F.col(start) <= F.col(at)) & (F.col(end) >= F.col(at))).drop("_m")
+    """Points inside intervals of the same key. An interval is repeated per
+    month it touches, one of over a year per year, one of over twelve years or
+    with an open end stands once; points ask at each of these scales, then the
+    exact condition decides."""
+    days = F.datediff(F.col(end).cast("date"), F.col(start).cast("date"))
+    always = F.lit("1970-01-01").cast("date")
+    scale = F.when(days.isNull() | (days > 4383), 2).when(days > 366, 1).otherwise(0)
+    steps = F.when(scale == 0, F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("INTERVAL 1 MONTH"))).when(
+        scale == 1, F.sequence(F.trunc(start, "year"), F.trunc(end, "year"), F.expr("INTERVAL 1 YEAR"))
+    ).otherwise(F.array(always))
+    usable = days.isNull() | (days >= 0)  # an interval that ends before it starts holds nothing
+    iv = intervals.filter(usable).withColumn("_s", scale).withColumn("_m", F.explode(steps))
+    asks = F.array(*[F.struct(F.lit(i).alias("s"), m.alias("m")) for i, m in enumerate((F.trunc(at, "month"), F.trunc(at, "year"), always))])
+    pt = points.withColumn("_q", F.explode(asks)).withColumn("_s", F.col("_q.s")).withColumn("_m", F.col("_q.m")).drop("_q")
+    return pt.join(iv, [key, "_s", "_m"]).filter(_covers(start, end, F.col(at), F.col(at))).drop("_s", "_m")
 
 
 def task_overlap(tasks: DataFrame, group: str, start: str, end: str) -> DataFrame:

@@ -3,7 +3,7 @@ Each job is a projection; no row moves between tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..model import doc_schema as D
 
@@ -38,9 +38,29 @@ def upgrade_data_flow(records: DataFrame, column: str = "data") -> DataFrame:
 
 
 def upgrade_cardinality(df: DataFrame, to_one: tuple[str, ...] = (), to_list: tuple[str, ...] = ()) -> DataFrame:
-    """List -> its first entry, single -> list of one; nothing stays nothing."""
+    """List -> one entry, single -> list of one; nothing stays nothing.
+
+    The entries of a list become one: their lists end to end, of single members
+    the first that is there. Entries without members are joined as lists are,
+    or else stay apart, in ``<name>_more``, all but the first."""
     for c in to_one:
-        df = df.withColumn(c, F.get(c, F.lit(0)))
+        kind = df.schema[c].dataType.elementType
+        entries = F.filter(c, lambda x: x.isNotNull())
+        if isinstance(kind, T.StructType):
+            none = lambda f: F.lit(None).cast(f.dataType)
+
+            def member(f: T.StructField, entries=entries, none=none) -> Column:
+                got = F.filter(F.transform(entries, lambda x: x[f.name]), lambda x: x.isNotNull())
+                whole = F.flatten(got) if isinstance(f.dataType, T.ArrayType) else F.get(got, F.lit(0))
+                return F.when(F.size(got) > 0, whole).otherwise(none(f)).alias(f.name)
+
+            one = F.struct(*[member(f) for f in kind.fields])
+        elif isinstance(kind, T.ArrayType):
+            one = F.flatten(entries)
+        else:
+            df = df.withColumn(f"{c}_more", F.slice(entries, F.lit(2), F.greatest(F.size(entries) - 1, F.lit(0))))
+            one = F.get(entries, F.lit(0))
+        df = df.withColumn(c, F.when(F.size(entries) > 0, one))
     for c in to_list:
         df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.array(c)))
     return df

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import scalars as S
 from ..model import doc_schema as D, enums as en
-from ..session import broadcast_if_small, cut
+from ..session import cut
 
 ERROR, WARNING = "error", "warning"
 COLUMNS = ["bom_id", "rule", "severity", "pointer", "value"]
@@ -56,12 +56,17 @@ def required(*columns: str) -> list[RowRule]:
     return [RowRule("required", F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit(c)) for c in columns]
 
 
+def version_number(c: Column) -> Column:
+    """A spec version as numbers, so that 1.10 is newer than 1.5."""
+    return F.transform(F.split(c, r"\."), lambda x: x.try_cast("int"))
+
+
 def enum(column: str, name: str, version: str | None = "spec_version") -> RowRule:
     """Value in its enum and, when a version column is given, old enough for it."""
     c = F.col(column)
     bad = ~c.isin(en.ENUMS[name][1])
     for value, since in en.VALUE_SINCE.get(name, {}).items() if version else ():
-        bad = bad | ((c == value) & (F.col(version) < since))
+        bad = bad | ((c == value) & (version_number(F.col(version)) < version_number(F.lit(since))))
     return RowRule("enum", c.isNotNull() & bad, F.concat_ws("=", F.lit(column), c))
 
 
@@ -147,7 +152,7 @@ def deprecated(*fields: Column, names: list[str]) -> list[RowRule]:
 
 def license_ids(license_uses: DataFrame, known: DataFrame) -> DataFrame:
     """``license_uses(bom_id, pointer, license_id)`` with ids outside the list."""
-    ids = broadcast_if_small(known.select("license_id").distinct())
+    ids = known.select("license_id").distinct()
     bad = license_uses.filter("license_id IS NOT NULL").join(ids, "license_id", "left_anti")
     return _emit(bad, "license_id", ERROR, F.col("pointer"), F.col("license_id"))
 
@@ -217,7 +222,7 @@ def _unknown(df: DataFrame, element: str, members: Column, pointer: Column) -> D
     known = F.array(*[F.lit(n) for n in known_members(element)])
     strange = F.array_except(members, known)
     early = F.array(*[
-        F.when(F.array_contains(members, n) & (F.col("spec_version") < v), F.lit(n)) for n, v in en.MEMBER_SINCE[element].items()
+        F.when(F.array_contains(members, n) & (version_number(F.col("spec_version")) < version_number(F.lit(v))), F.lit(n)) for n, v in en.MEMBER_SINCE[element].items()
     ])
     bad = df.select("bom_id", pointer.alias("pointer"), F.explode(F.array_union(strange, F.array_compact(early))).alias("key"))
     return _emit(bad, "unknown_field", ERROR, F.col("pointer"), F.concat(F.lit(f"{element}."), F.col("key")))

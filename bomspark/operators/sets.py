@@ -55,7 +55,9 @@ def alias_edges(vulns: DataFrame, keys: list) -> DataFrame:
     named = vulns.select("vuln_key", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
     cols = [f"_k{i}" for i in range(len(keys))]
     heads = named.groupBy(*cols).agg(F.min("vuln_key").alias("dst"))
-    return named.join(heads, cols).select(F.col("vuln_key").alias("src"), "dst")
+    # records without one of the keys form groups too
+    same = reduce(lambda a, b: a & b, [named[c].eqNullSafe(heads[c]) for c in cols])
+    return named.join(heads, same).select(F.col("vuln_key").alias("src"), "dst")
 
 
 def alias_groups(vulns: DataFrame, keys: list) -> DataFrame:

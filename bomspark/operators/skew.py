@@ -13,23 +13,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def parts_for_hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
-    """Add ``part``: 0 for normal groups, 0..n-1 (by row hash) for groups with
-    more than ``max_rows`` rows, so no later group gathers much over that."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    hot = (
-        counts.filter(F.col("_rows") > max_rows)
-        .withColumn("_n", F.ceil(F.col("_rows") / max_rows).cast("int"))
-        .drop("_rows")
-    )
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-    return (
-        df.join(hot, list(keys), "left")
-        .withColumn("part", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(row_hash, F.col("_n"))).cast("int"))
-        .drop("_n")
-    )
-
-
 def split_lag(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, values: dict[str, str]
 ) -> DataFrame:

@@ -27,10 +27,13 @@ def extract_copyright(texts: DataFrame) -> DataFrame:
 
 
 def decode_attachments(attachments: DataFrame) -> DataFrame:
-    """Base64 or plain attachment text -> content and size."""
-    raw = F.when(F.col("encoding") == "base64", F.unbase64("content")).otherwise(F.encode("content", "UTF-8"))
-    return attachments.withColumn("_raw", raw).select(
-        *[c for c in attachments.columns if c != "content"], F.decode("_raw", "UTF-8").alias("text"), F.octet_length("_raw").alias("n_bytes")
+    """Base64 or plain attachment text -> bytes, size, and the text where the
+    bytes are UTF-8 (null for images and the like). Broken base64 keeps its
+    row with ``valid`` false and nulls."""
+    raw = F.when(F.col("encoding") == "base64", F.try_to_binary("content", F.lit("base64"))).otherwise(F.encode("content", "UTF-8"))
+    return attachments.withColumn("raw", raw).select(
+        *[c for c in attachments.columns if c != "content"], "raw", F.try_validate_utf8(F.col("raw").cast("string")).alias("text"),
+        F.octet_length("raw").alias("n_bytes"), (F.col("content").isNull() | F.col("raw").isNotNull()).alias("valid"),
     )
 
 

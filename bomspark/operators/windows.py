@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
 from .skew import newest_per_key, split_lag
 
 
@@ -159,7 +160,14 @@ def top_risk_components(components: DataFrame, matched: DataFrame, k: int) -> Da
 
 
 def sort_inventory(components: DataFrame, version_key: Column) -> DataFrame:
-    """Canonical order: type, group, name, version (by key), then ids."""
-    return components.withColumn("_k", version_key).orderBy(
-        "type", "comp_group", "name", F.col("_k").asc_nulls_first(), "bom_id", "bom_ref", "supplier_id"
-    ).drop("_k")
+    """Canonical order: type, group, name, version (by key), then ids; with the
+    ``position`` (from 1) of each row. Spark sorts by range; the rows of the
+    ranges before are added to the place within a range."""
+    order = ["type", "comp_group", "name", F.col("_k").asc_nulls_first(), "bom_id", "bom_ref", "supplier_id"]
+    rows = cut(components.withColumn("_k", version_key).orderBy(*order).drop("_k").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = rows.groupBy(part).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", "_first", before.alias("_before"))
+    placed = rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return placed.withColumn("position", F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_first", "_before", "_at")

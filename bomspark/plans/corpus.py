@@ -6,10 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.skew import parts_for_hot_groups
 from ..sources.documents import json_array, typed
 
-MAX_ELEMENTS = 200_000
 lit, col = F.lit, F.col
 
 
@@ -37,23 +35,21 @@ def items(df: DataFrame, key: Column, grp, order: Column, item: Column) -> DataF
 
 
 def gather(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """One row per document (or per part of a very large one) with an ordered
-    list of JSON texts per group."""
-    rows = parts_for_hot_groups(rows, ["bom_id"], MAX_ELEMENTS)
+    """One row per document with an ordered list of JSON texts per group. A
+    document is one text, so its elements do meet in one row."""
 
     def one(g: str) -> Column:
         lst = F.array_sort(F.collect_list(F.when(col("grp") == g, F.struct("ord", "item"))))
         return F.transform(lst, lambda x: x["item"]).alias(g)
 
-    return rows.groupBy("bom_id", "part").agg(*[one(g) for g in groups])
+    return rows.groupBy("bom_id").agg(*[one(g) for g in groups])
 
 
 def finish(df: DataFrame, *members: tuple[str, Column]) -> DataFrame:
     """Document text from members given as JSON text; null members are left out."""
     body = F.concat_ws(",", lit('"specVersion":"1.7","version":1'), *[F.concat(lit(f'"{n}":'), v) for n, v in members])
     docs = df.withColumn("content", F.concat(lit("{"), body, lit("}")))
-    keep = [c for c in ("bom_id", "part", "content") if c in docs.columns]
-    return typed(docs.select(*keep))
+    return typed(docs.select("bom_id", "content"))
 
 
 def arr(name: str) -> Column:

@@ -6,7 +6,6 @@ from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators.skew import newest_per_key
 from ..operators.windows import latest_bom
-from ..session import broadcast_if_small
 from .registry import query
 
 MAJOR = "CAST(split_part(version, '.', 1) AS INT)"
@@ -256,14 +255,19 @@ def _(t):
     return J.bom_as_of_each(p, t.bom)
 
 
+def open_ended(certificates):
+    """Every fifth certificate without an end."""
+    return certificates.withColumn("not_valid_after", F.when(F.col("cert_id") % 5 != 0, F.col("not_valid_after")))
+
+
 @query(
     "valid_at",
-    f"""SELECT cert_id, subject_name, state FROM certificate WHERE not_valid_before <= TIMESTAMP '{AS_OF}' AND not_valid_after >= TIMESTAMP '{AS_OF}'""",
+    f"""SELECT cert_id, subject_name, state FROM certificate WHERE not_valid_before <= TIMESTAMP '{AS_OF}' AND (cert_id % 5 = 0 OR not_valid_after >= TIMESTAMP '{AS_OF}')""",
     "certificate",
 )
 def _(t):
     at = F.lit(AS_OF).cast("timestamp_ntz")
-    return J.valid_at(t.certificate, "not_valid_before", "not_valid_after", at).select("cert_id", "subject_name", "state")
+    return J.valid_at(open_ended(t.certificate), "not_valid_before", "not_valid_after", at).select("cert_id", "subject_name", "state")
 
 
 @query(
@@ -280,7 +284,7 @@ def _(t):
 @query(
     "valid_interval_join",
     """p AS (SELECT concat('CN=', CAST(c_custkey AS VARCHAR)) AS subject_name, TIMESTAMP '1997-01-01' + INTERVAL (c_custkey % 1000) DAY AS at FROM customer)
-SELECT p.subject_name, p.at, c.cert_id FROM p JOIN certificate c ON c.subject_name = p.subject_name AND c.not_valid_before <= p.at AND c.not_valid_after >= p.at""",
+SELECT p.subject_name, p.at, c.cert_id FROM p JOIN certificate c ON c.subject_name = p.subject_name AND c.not_valid_before <= p.at AND (c.cert_id % 5 = 0 OR c.not_valid_after >= p.at)""",
     "certificate",
 )
 def _(t):
@@ -288,7 +292,7 @@ def _(t):
         F.concat(F.lit("CN="), F.col("c_custkey").cast("string")).alias("subject_name"),
         (F.lit("1997-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 1000).cast("int"))).alias("at"),
     )
-    c = t.certificate.select("subject_name", "cert_id", "not_valid_before", "not_valid_after")
+    c = open_ended(t.certificate).select("subject_name", "cert_id", "not_valid_before", "not_valid_after")
     return J.interval_join(p, c, "subject_name", "not_valid_before", "not_valid_after").select("subject_name", "at", "cert_id")
 
 
@@ -357,4 +361,4 @@ FROM component c JOIN organization o ON o.supplier_id = c.supplier_id GROUP BY 1
     "component organization",
 )
 def _(t):
-    return J.supplier_geography(t.component, broadcast_if_small(t.organization))
+    return J.supplier_geography(t.component, t.organization)

@@ -52,12 +52,12 @@ def _(t):
     return X.bom_table(docs_io.read_bom_jsonl(t.spark, out)).select("serial_number", "version", "spec_version", "created_at", "tlp")
 
 
-@doc_query("read_bom_json", "SELECT CAST(min(o_orderkey) AS BIGINT) AS first_order, count(*) AS n_orders FROM orders GROUP BY o_custkey % 16")
+@doc_query("read_bom_json", "SELECT CAST(min(o_orderkey) AS BIGINT) AS first_order, count(*) AS n_orders FROM orders GROUP BY o_orderkey // 4096")
 def _(t):
-    # one wholetext file per group of orders: a document whose components are the orders
+    # one wholetext file per block of order keys: a document whose components are the orders
     k = F.col("o_orderkey")
     item = C.js(type=F.lit("file"), name=k.cast("string"))
-    g = C.gather(C.items(t.raw("orders"), F.col("o_custkey") % 16, "c", F.lpad(k.cast("string"), 15, "0"), item), ["c"])
+    g = C.gather(C.items(t.raw("orders"), F.floor(k / 4096).cast("bigint"), "c", F.lpad(k.cast("string"), 15, "0"), item), ["c"])
     out = scratch_path(t.spark, "read_bom_json")
     docs = C.finish(g, ("components", C.arr("c")))
     docs.select("bom_id", "content").repartition("bom_id").write.partitionBy("bom_id").text(out)
@@ -305,7 +305,7 @@ def _(t):
 )
 def _(t):
     k = t.component.select("version").distinct().withColumn("k", S.version_key("version"))
-    return k.select(F.col("k.n")[0].alias("major"), F.col("k.n")[1].alias("minor"), "version")
+    return k.select(F.col("k.n")[0]["digits"].cast("bigint").alias("major"), F.col("k.n")[1]["digits"].cast("bigint").alias("minor"), "version")
 
 
 @query(
@@ -441,15 +441,20 @@ def _(t):
 
 @doc_query(
     "upgrade_cardinality",
-    "SELECT p_partkey, concat('ev-', CAST(p_partkey AS VARCHAR)) AS evidence, 1 AS n_licenses, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END AS n_data FROM part",
+    """SELECT p_partkey, concat('ev-', CAST(p_partkey AS VARCHAR)) AS evidence, concat('first,', CAST(p_partkey AS VARCHAR), ',second') AS copyright,
+'b' AS tag, 'c' AS more_tags, 1 AS n_licenses, CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END AS n_data FROM part""",
 )
 def _(t):
     k = F.col("p_partkey")
     old = t.raw("part").select(
-        "p_partkey", F.array(C.cat("ev-", k), F.lit("second")).alias("evidence"), F.lit("MIT").alias("licenses"), F.when(k % 3 != 0, F.lit("d")).alias("data")
+        "p_partkey", 
+        F.array(
+            C.S(name=F.lit(None).cast("string"), copyright=F.array(F.lit("first"), k.cast("string"))), C.S(name=C.cat("ev-", k), copyright=F.array(F.lit("second")))
+        ).alias("evidence"), F.array(F.lit("b"), F.lit("c")).alias("tag"),
+        F.lit("MIT").alias("licenses"), F.when(k % 3 != 0, F.lit("d")).alias("data")
     )
-    new = M.upgrade_cardinality(old, to_one=("evidence",), to_list=("licenses", "data"))
-    return new.select("p_partkey", "evidence", F.size("licenses").alias("n_licenses"), F.coalesce(F.size("data"), F.lit(-1)).alias("n_data"))
+    new = M.upgrade_cardinality(old, to_one=("evidence", "tag"), to_list=("licenses", "data"))
+    return new.select("p_partkey", F.col("evidence.name").alias("evidence"), F.array_join("evidence.copyright", ",").alias("copyright"), "tag", F.array_join("tag_more", ",").alias("more_tags"), F.size("licenses").alias("n_licenses"), F.coalesce(F.size("data"), F.lit(-1)).alias("n_data"))
 
 
 @doc_query(
@@ -504,12 +509,18 @@ def _(t):
     return T.extract_copyright(t.raw("documents").select("doc_id", notice.alias("text"))).select("doc_id", "statement")
 
 
-@query("decode_attachments", "SELECT doc_id, lang AS content_type, strlen(text) AS n_bytes, md5(text) AS digest FROM documents")
+@query(
+    "decode_attachments",
+    """SELECT doc_id, lang AS content_type, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 20 ELSE strlen(text) END AS n_bytes,
+CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN NULL ELSE md5(text) END AS digest, doc_id % 11 <> 0 AS valid FROM documents""",
+)
 def _(t):
-    a = t.raw("documents").select(
-        "doc_id", F.col("lang").alias("content_type"), F.lit("base64").alias("encoding"), F.base64(F.encode("text", "UTF-8")).alias("content")
-    )
-    return T.decode_attachments(a).select("doc_id", "content_type", F.col("n_bytes").cast("bigint").alias("n_bytes"), F.md5("text").alias("digest"))
+    # every seventh attachment is an image's bytes, every eleventh is broken
+    k = F.col("doc_id")
+    binary = F.unhex(F.concat(F.lit("FFD8FFE0"), F.substring(F.sha2(k.cast("string"), 256), 1, 32)))
+    text = F.when(k % 11 == 0, F.lit("not*base64")).when(k % 7 == 0, F.base64(binary)).otherwise(F.base64(F.encode("text", "UTF-8")))
+    a = t.raw("documents").select("doc_id", F.col("lang").alias("content_type"), F.lit("base64").alias("encoding"), text.alias("content"))
+    return T.decode_attachments(a).select("doc_id", "content_type", F.col("n_bytes").cast("bigint").alias("n_bytes"), F.md5("text").alias("digest"), "valid")
 
 
 @query(
@@ -551,7 +562,7 @@ def _(t):
     udx.register_scheme("calendar", _calendar)
     key = udx.version_key_scheme("calendar")
     v = t.component.select("version").distinct().withColumn("k", key("version"))
-    return v.select("version", F.col("k.n")[0].alias("first"), F.col("k.n")[1].alias("second"))
+    return v.select("version", F.col("k.n")[0]["digits"].cast("bigint").alias("first"), F.col("k.n")[1]["digits"].cast("bigint").alias("second"))
 
 
 @query(

@@ -168,11 +168,11 @@ def _(t):
 
 @query(
     "sort_inventory",
-    """SELECT bom_id, bom_ref, type, comp_group, name, version FROM component ORDER BY type, comp_group, name,
-CAST(split_part(version, '.', 1) AS INT), CAST(split_part(version, '.', 2) AS INT), CAST(split_part(version, '.', 3) AS INT), bom_id, bom_ref, supplier_id LIMIT 200""",
+    """SELECT bom_id, bom_ref, type, comp_group, name, version, row_number() OVER (ORDER BY type, comp_group, name,
+CAST(split_part(version, '.', 1) AS INT), CAST(split_part(version, '.', 2) AS INT), CAST(split_part(version, '.', 3) AS INT), bom_id, bom_ref, supplier_id) AS position FROM component""",
     "component",
 )
 def _(t):
     return W.sort_inventory(t.component, S.version_key("version")).select(
-        "bom_id", "bom_ref", "type", "comp_group", "name", "version"
-    ).limit(200)
+        "bom_id", "bom_ref", "type", "comp_group", "name", "version", "position"
+    )

@@ -1,5 +1,5 @@
 """Session defaults and the two things every iterative job needs: a place to
-cut lineage, and a size-checked broadcast."""
+cut lineage, and a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-BROADCAST_LIMIT_ROWS = 200_000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
@@ -58,11 +57,3 @@ def cut(df: DataFrame) -> DataFrame:
 
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_ROWS) -> DataFrame:
-    """Broadcast hint only after the row count is known to be under ``limit``;
-    larger sides keep the shuffle join that AQE splits on skew."""
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as S
 from ..model import doc_schema as D
-from ..operators.skew import parts_for_hot_groups
 
 # Conventional file names of documents.
 JSON_GLOB = "{bom.json,*.cdx.json}"
@@ -129,14 +128,9 @@ def quoted(value: Column) -> Column:
 
 def bom_documents(
     boms: DataFrame, components: DataFrame, edges: DataFrame | None = None, bom_format: str | None = None,
-    max_elements: int = 200_000,
 ) -> DataFrame:
-    """Rebuild documents from tables: ``bom_id, part, content``.
-
-    A document is one row. One with more than ``max_elements`` elements is
-    written as several rows of the same serial number and version (``part`` 0,
-    1, ...), so no task gathers an unbounded group; readers that key on
-    ``bom_id`` see the same tables."""
+    """Rebuild documents from tables: ``bom_id, content``. A document is one
+    row with all its elements, however many there are."""
     c = components
     cols = [
         ("type", "type"), ("bom-ref", "bom_ref"), ("group", "comp_group"), ("name", "name"), ("version", "version"),
@@ -160,13 +154,12 @@ def bom_documents(
                 F.to_json(F.struct("ref", "dependsOn")).alias("item"),
             )
         )
-    items = parts_for_hot_groups(items, ["bom_id"], max_elements)
 
     def gathered(kind: str) -> Column:
         lst = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("ord", "item"))))
         return F.transform(lst, lambda x: x["item"])
 
-    parts = items.groupBy("bom_id", "part").agg(gathered("c").alias("_c"), gathered("d").alias("_d"))
+    parts = items.groupBy("bom_id").agg(gathered("c").alias("_c"), gathered("d").alias("_d"))
     stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     meta = F.to_json(
         F.struct(
@@ -181,7 +174,7 @@ def bom_documents(
     }
     some = lambda a: F.when(F.size(a) > 0, json_array(F.col(a)))
     content = json_object(**head, components=json_array(F.coalesce("_c", F.array().cast("array<string>"))), dependencies=some("_d"))
-    return boms.join(parts, "bom_id", "left").select("bom_id", F.coalesce("part", F.lit(0)).alias("part"), content.alias("content"))
+    return boms.join(parts, "bom_id", "left").select("bom_id", content.alias("content"))
 
 
 def write_bom_json(documents: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -55,7 +55,7 @@ def run_upsert(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
         .option("checkpointLocation", scratch_path(spark, label + "-state")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    rows = spark.read.parquet(out).drop("part")
+    rows = spark.read.parquet(out)
     return newest_per_key(rows, keys, [F.col("_batch")]).drop("_batch")
 
 
@@ -139,7 +139,7 @@ def split_late(stream: DataFrame, event_time: str, delay: str, label: str) -> tu
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows").drop("part")
+    rows = spark.read.parquet(f"{out}/rows")
     return rows.filter("NOT _late").drop("_late"), rows.filter("_late").drop("_late")
 
 

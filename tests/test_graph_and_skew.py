@@ -50,14 +50,6 @@ def test_split_windows_equal_plain_windows_on_a_hot_key(spark):
     assert sorted(map(tuple, got.select(cols).collect()), key=str) == sorted(map(tuple, want.select(cols).collect()), key=str)
 
 
-def test_hot_groups_are_split_and_whole(spark):
-    df = spark.range(1000).select(F.when(F.col("id") < 700, 1).otherwise(F.col("id")).alias("k"), "id")
-    parts = skew.parts_for_hot_groups(df, ["k"], 100)
-    sizes = parts.groupBy("k", "part").count()
-    assert parts.count() == 1000 and sizes.filter("k = 1").count() > 3
-    assert parts.filter("k <> 1").select("part").distinct().count() == 1
-
-
 def test_missing_serial_stands_alone(spark):
     b = spark.createDataFrame([(1, "s", 1), (2, "s", 2), (3, None, 1), (4, None, 1)], "bom_id long, serial_number string, version int")
     assert {r.bom_id for r in W.latest_bom(b).collect()} == {2, 3, 4}
