@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
-from .skew import newest_per_key, split_lag
+from .skew import newest_per_key, split_lag, split_running_sum
 
 
 def filter_inventory(
@@ -260,12 +260,9 @@ def task_overlap(tasks: DataFrame, group: str, start: str, end: str) -> DataFram
         tasks.select(group, F.col(end).alias("_t"), F.lit(0).alias("_s"), F.lit(1).alias("_e"))
     )
     per_t = ev.groupBy(group, "_t").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
-    w = Window.partitionBy(group).orderBy("_t")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    run = per_t.select(
-        group, "_t", F.sum("_s").over(upto).alias("_starts"),
-        F.coalesce(F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ends_before"),
-    )
+    month = F.date_trunc("month", "_t")  # a long group is summed up month by month
+    run = split_running_sum(per_t, [group], ["_t"], month, F.col("_s"), "_starts")
+    run = split_running_sum(run, [group], ["_t"], month, F.col("_e"), "_ends").withColumn("_ends_before", F.col("_ends") - F.col("_e"))
     a = run.select(group, F.col("_t").alias(end), "_starts")
     b = run.select(group, F.col("_t").alias(start), "_ends_before")
     return (

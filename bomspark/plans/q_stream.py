@@ -111,16 +111,19 @@ def _(t):
     # two deliveries: even records first, then the odd ones, most of them behind
     v = t.vulnerability.select("vuln_key", F.col("published_at").cast("timestamp").alias("published_at"))
     out = scratch_path(t.spark, "stream-late-in")
-    v.filter("vuln_key % 2 = 0").coalesce(1).write.parquet(f"{out}/a")
-    v.filter("vuln_key % 2 = 1").coalesce(1).write.parquet(f"{out}/b")
-    on_time, late = J.split_late(J.file_stream(t.spark, f"{out}/*", v.schema, max_files=1), "published_at", "10 DAYS", "late")
+    v.filter("vuln_key % 2 = 0").write.parquet(f"{out}/a")
+    stream = J.file_stream(t.spark, f"{out}/*", v.schema, max_files=None)
+    second = lambda: v.filter("vuln_key % 2 = 1").write.parquet(f"{out}/b")
+    on_time, late = J.split_late(stream, "published_at", "10 DAYS", "late", (second,))
     return on_time.select("vuln_key", F.lit(False).alias("late")).unionByName(late.select("vuln_key", F.lit(True).alias("late")))
 
 
 @doc_query(
     "stream_analysis_state",
-    """s AS (SELECT package_id, source_name, arg_max(analysis_state, {'t': published_at, 'k': vuln_key}) AS state, min(published_at) FILTER (analysis_state = 'in_triage') AS triage_since, max(published_at) AS updated_at FROM vulnerability GROUP BY 1, 2)
-SELECT *, CAST(floor(epoch(updated_at)) - floor(epoch(triage_since)) AS BIGINT) AS seconds_since_triage FROM s""",
+    """s AS (SELECT package_id, source_name, arg_max(analysis_state, {'t': published_at, 'k': vuln_key}) AS state, min(published_at) FILTER (analysis_state = 'in_triage') AS triage_since, max(published_at) AS updated_at,
+max(published_at) FILTER (analysis_state = 'in_triage') AS last_triage FROM vulnerability GROUP BY 1, 2)
+SELECT package_id, source_name, state, triage_since, updated_at,
+CAST(floor(epoch(CASE WHEN state = 'in_triage' THEN updated_at ELSE last_triage END)) - floor(epoch(triage_since)) AS BIGINT) AS seconds_in_triage FROM s""",
     "vulnerability",
 )
 def _(t):

@@ -22,14 +22,14 @@ def _(t):
 
 @query(
     "version_gaps",
-    """kept AS (SELECT * FROM bom WHERE tlp <> 'RED'),
+    """kept AS (SELECT serial_number, version + version // 3 AS version FROM bom),
 l AS (SELECT serial_number, version, lag(version) OVER (PARTITION BY serial_number ORDER BY version) AS previous FROM kept)
 SELECT serial_number, version, previous, 'missing' AS kind FROM l WHERE version > coalesce(previous, 0) + 1""",
     "bom",
 )
 def _(t):
-    # documents marked RED are not published, which leaves gaps behind
-    return W.version_gaps(t.bom.filter("tlp <> 'RED'")).select("serial_number", "version", "previous", "kind")
+    # every third number is skipped
+    return W.version_gaps(t.bom.withColumn("version", (F.col("version") + F.floor(F.col("version") / 3)).cast("int"))).select("serial_number", "version", "previous", "kind")
 
 
 @query(

@@ -7,7 +7,7 @@ itself is one row per key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -55,7 +55,7 @@ def run_upsert(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
         .option("checkpointLocation", scratch_path(spark, label + "-state")).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    rows = spark.read.parquet(out)
+    rows = spark.read.parquet(out).drop("part")
     return newest_per_key(rows, keys, [F.col("_batch")]).drop("_batch")
 
 
@@ -108,20 +108,23 @@ def latest_documents(boms: DataFrame) -> DataFrame:
 
 def analysis_state(analyses: DataFrame) -> DataFrame:
     """Current state per (package, source), since when it was first seen in
-    triage and how long that took up to the newest record."""
-    triage = F.min(F.when(F.col("analysis_state") == "in_triage", F.col("published_at")))
+    triage and for how long: to the newest record while it is in triage, to the
+    last one in triage after that."""
+    in_triage = F.when(F.col("analysis_state") == "in_triage", F.col("published_at"))
+    triage = F.min(in_triage)
     got = analyses.groupBy("package_id", "source_name").agg(
         F.max_by("analysis_state", F.struct("published_at", "vuln_key")).alias("state"), triage.alias("triage_since"),
-        F.max("published_at").alias("updated_at"),
+        F.max("published_at").alias("updated_at"), F.max(in_triage).alias("_last"),
     )
-    secs = F.unix_seconds("updated_at") - F.unix_seconds("triage_since")
-    return got.withColumn("seconds_since_triage", secs)
+    until = F.when(F.col("state") == "in_triage", F.col("updated_at")).otherwise(F.col("_last"))
+    return got.withColumn("seconds_in_triage", F.unix_seconds(until) - F.unix_seconds("triage_since")).drop("_last")
 
 
-def split_late(stream: DataFrame, event_time: str, delay: str, label: str) -> tuple[DataFrame, DataFrame]:
+def split_late(stream: DataFrame, event_time: str, delay: str, label: str, deliveries: tuple[Callable[[], None], ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(on time, late): a row is late when its event time lies more than
     ``delay`` behind the newest one of earlier batches. Each batch leaves its
-    newest event time as one row, so a restart finds the same boundary."""
+    newest event time as one row, so a restart finds the same boundary. The
+    stream runs over what is there, then once more after each of ``deliveries``."""
     spark = stream.sparkSession
     out = scratch_path(spark, label)
 
@@ -134,12 +137,12 @@ def split_late(stream: DataFrame, event_time: str, delay: str, label: str) -> tu
         here = batch.agg(F.greatest(F.max(event_time), F.lit(newest).cast("timestamp")).alias("t"))
         here.coalesce(1).write.mode("overwrite").parquet(f"{out}/seen/part={batch_id}")
 
-    q = (
-        stream.writeStream.foreachBatch(route).option("checkpointLocation", scratch_path(spark, label + "-state"))
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows")
+    state = scratch_path(spark, label + "-state")
+    for deliver in (None, *deliveries):
+        if deliver:
+            deliver()
+        stream.writeStream.foreachBatch(route).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows").drop("part")
     return rows.filter("NOT _late").drop("_late"), rows.filter("_late").drop("_late")
 
 
@@ -152,21 +155,23 @@ class ExpiryAlerts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.end = handle.getValueState("end", "end_ms long")
+        self.end = handle.getValueState("end", "end_ms long, alerted boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end = max(int(pdf["end_ms"].max()) for pdf in rows)
         if self.end.exists():
-            end = max(end, int(self.end.get()[0]))
+            known = int(self.end.get()[0])
+            if end <= known:
+                return  # the timer stands, or the alert has been given
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-        self.end.update((end,))
+        self.end.update((end, False))
         self.handle.registerTimer(end - self.lead_ms)
-        yield pd.DataFrame({"cert_id": [], "end_ms": []}).astype("int64")
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         end = int(self.end.get()[0])
-        self.end.clear()
+        self.end.update((end, True))
         yield pd.DataFrame({"cert_id": [int(key[0])], "end_ms": [end]})
 
     def close(self) -> None:
