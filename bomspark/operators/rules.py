@@ -208,6 +208,28 @@ def citation_source(docs: DataFrame) -> DataFrame:
     )
 
 
+def unique_items(elements: DataFrame, versions: DataFrame, since: str = "1.5") -> DataFrame:
+    """Equal entries of one list of components or services, an error in
+    documents older than ``since``. Entries are told apart by a digest."""
+    rows = elements.join(versions, "bom_id").filter(version_number(F.col("spec_version")) < version_number(F.lit(since)))
+    rows = rows.filter(F.col("pointer").rlike("/[0-9]+$")).select(
+        "bom_id", "pointer", F.regexp_replace("pointer", "/[0-9]+$", "").alias("list"), F.sha2(F.to_json("c"), 256).alias("content")
+    )
+    again = rows.groupBy("bom_id", "list", "content").agg(F.count("*").alias("_n"), F.max("pointer").alias("pointer")).filter("_n > 1")
+    return _emit(again, "unique_items", ERROR, F.col("pointer"), F.col("list"))
+
+
+def crypto_rules(components: DataFrame) -> DataFrame:
+    """Bounds of security levels and order of certificate dates."""
+    k = F.when(F.col("c.cryptoProperties").isNotNull(), F.try_variant_get(F.col("c.cryptoProperties"), "$", D.CRYPTO))
+    al, ce = F.col("_k.algorithmProperties"), F.col("_k.certificateProperties")
+    rows = components.withColumn("_k", k).filter("_k IS NOT NULL").select(
+        "bom_id", "pointer", al["nistQuantumSecurityLevel"].alias("nistQuantumSecurityLevel"), al["classicalSecurityLevel"].alias("classicalSecurityLevel"),
+        F.try_to_timestamp(ce["notValidBefore"]).alias("notValidBefore"), F.try_to_timestamp(ce["notValidAfter"]).alias("notValidAfter"),
+    )
+    return check_rows(rows, [bounded("nistQuantumSecurityLevel", 0, 6), bounded("classicalSecurityLevel", 0, None), date_order("notValidBefore", "notValidAfter")])
+
+
 def _names(ddl: str) -> list[str]:
     got = T._parse_datatype_string(ddl)
     return got.fieldNames()
@@ -310,8 +332,9 @@ def validate(docs: DataFrame, known_licenses: DataFrame | None = None, bom_forma
     boms = docs.select(
         "bom_id", d["specVersion"].alias("specVersion"), d["serialNumber"].alias("serialNumber"), d["bomFormat"].alias("bomFormat"),
         d["version"].try_cast("int").alias("version"), d["metadata"]["timestamp"].alias("timestamp"), d["version"].alias("version_text"),
+        d["metadata"]["distributionConstraints"]["tlp"].alias("tlp"),
     )
-    top = [*required("specVersion"), pattern("serialNumber", "serial"), bounded("version", 1, None), date_time(F.col("timestamp"), "timestamp"),
+    top = [*required("specVersion"), pattern("serialNumber", "serial"), bounded("version", 1, None), date_time(F.col("timestamp"), "timestamp"), enum("tlp", "tlp", None),
            RowRule("range", F.col("version_text").isNotNull() & F.col("version").isNull(), F.lit("version"))]
     if bom_format is not None:
         top.append(RowRule("enum", ~F.col("bomFormat").eqNullSafe(bom_format), F.lit("bomFormat")))
@@ -354,7 +377,7 @@ def validate(docs: DataFrame, known_licenses: DataFrame | None = None, bom_forma
         check_rows(props, [RowRule("required", F.col("name").isNull(), F.lit("property name"))]),
         check_rows(patches, [*required("type"), enum("type", "patch_type", None)]), check_rows(issues, [*required("type"), enum("type", "issue_type", None)]),
         check_rows(flows, [*required("flow", "classification"), enum("flow", "data_flow", None)]), check_rows(services, [*required("name")]),
-        check_rows(vul["rating"], [enum("severity", "severity", None)], at("/vulnerabilities/")),
+        check_rows(vul["rating"], [enum("severity", "severity", None), enum("method", "score_method", None)], at("/vulnerabilities/")),
         check_rows(vul["analysis"], [enum("state", "analysis_state", None), enum("justification", "justification", None), *vex_rules()], at("/vulnerabilities/")),
         check_rows(vul["affects"], [choice("affected version", F.col("version"), F.col("vers_range"), at_least=0)], at("/vulnerabilities/")),
         check_rows(X.explode_compositions(docs), [enum("aggregate", "aggregate", None)], at("/compositions/")),
@@ -365,7 +388,8 @@ def validate(docs: DataFrame, known_licenses: DataFrame | None = None, bom_forma
         check_rows(life, [choice("lifecycle", F.col("phase"), F.col("name")), enum("phase", "lifecycle_phase", None)], at("/metadata/lifecycles/")),
         check_rows(ann, [choice("annotator", *[F.col("a.annotator")[k] for k in ("organization", "individual", "component", "service")])], at("/annotations/")),
         citation_source(docs), requirement_parent(std), ref_unique(refs, WARNING), ref_dangling(X.ref_use_index(docs, comp), refs),
-        unknown_fields(docs, comp, serv), deprecated_fields(docs, comp),
+        unknown_fields(docs, comp, serv), deprecated_fields(docs, comp), crypto_rules(comp), unique_items(comp, ver), unique_items(serv, ver),
+        check_rows(X.evidence_methods(X.evidence_identity(comp)).withColumnRenamed("owner_pointer", "pointer"), [bounded("confidence", 0, 1), enum("technique", "technique", None)]),
     ]
     if known_licenses is not None:
         frames.append(license_ids(lic_raw.select("bom_id", "pointer", F.col("id").alias("license_id")), known_licenses))

@@ -8,6 +8,7 @@ from ..model import enums as en
 from ..operators import aggs as A, flatten as X, rules as R
 from . import corpus as C
 from .q_docs import CIT
+from ..sources.documents import typed
 from .registry import query
 
 V = "SELECT {bom} AS bom_id, '{rule}' AS rule, '{sev}' AS severity, {ptr} AS pointer, {val} AS value FROM "
@@ -323,3 +324,55 @@ def _(t):
     rs = R.RuleSet()
     rs.rule("house_style", R.WARNING, lambda c: c.filter("name LIKE '%gizmo%' AND is_external").select("bom_id", F.col("bom_ref").alias("pointer"), F.col("name").alias("value")))
     return rs.run(t.component)
+
+
+_HEAD = '{"specVersion":"1.7","serialNumber":"urn:uuid:00000000-0000-4000-8000-@KEY@","version":1,'
+_PART = '"type":"library","name":"n-@KEY@","version":"1"'
+#: Documents by kind of defect: text, first rule that it breaks.
+DEFECTS = (
+    (_HEAD + '"components":[{' + _PART + "}]}", None),
+    ('{"specVersion": broken @KEY@', "unreadable"),
+    (_HEAD + '"components":[{"name":"n"}]}', "required"),
+    (_HEAD + '"components":[{"type":"thing","name":"n"}]}', "enum"),
+    (_HEAD + '"components":[{' + _PART + ',"bom-ref":""}]}', "length"),
+    (_HEAD + '"components":[{' + _PART + ',"hashes":[{"alg":"MD5","content":"abc"}]}]}', "pattern"),
+    (_HEAD + '"components":[{' + _PART + ',"licenses":[{"license":{"id":"MIT","name":"both"}}]}]}', "choice"),
+    (_HEAD + '"components":[{' + _PART + ',"versionRange":"vers:generic/*","isExternal":true}]}', "version_range"),
+    (_HEAD + '"components":[{' + _PART + ',"data":[{"type":"dataset"}]}]}', "type_specific"),
+    (_HEAD + '"metadata":{"timestamp":"2024-01-01"}}', "timestamp"),
+    (_HEAD + '"metadata":{"strange":1}}', "unknown_field"),
+    (_HEAD + '"citations":[{"pointers":["/a"],"timestamp":"2024-01-01T00:00:00Z"}]}', "citation_source"),
+    ('{"specVersion":"1.7","version":0}', "range"),
+    ('{"specVersion":"1.10","version":1,"components":[{"type":"data","name":"n"}]}', None),
+    ('{"specVersion":"1.3","version":1,"components":[{' + _PART + "},{" + _PART + "}]}", "unique_items"),
+    (_HEAD + '"components":[{' + _PART + '}],"dependencies":[{"ref":"gone","dependsOn":["lost"]}]}', None),
+)
+
+
+def defect_docs(t):
+    """One document per order, its defect by order key."""
+    k = F.col("o_orderkey")
+    texts = F.array(*[F.lit(text) for text, _ in DEFECTS])
+    text = F.get(texts, (k % len(DEFECTS)).cast("int"))
+    return typed(t.raw("orders").select(k.alias("bom_id"), F.replace(text, F.lit("@KEY@"), F.lpad(k.cast("string"), 12, "0")).alias("content")))
+
+
+_RULE = "CASE o_orderkey % " + str(len(DEFECTS)) + " " + " ".join(f"WHEN {i} THEN {'NULL' if r is None else repr(r)}" for i, (_, r) in enumerate(DEFECTS)) + " END"
+
+
+@query("validate_documents", f"SELECT o_orderkey AS bom_id, {_RULE} IS NULL AS valid, {_RULE} AS first_rule FROM orders")
+def _(t):
+    docs = defect_docs(t)
+    return R.document_verdict(docs, R.validate(docs)).select("bom_id", "valid", "first_rule")
+
+
+@query(
+    "verdicts_of_files",
+    f"""SELECT o_orderkey AS bom_id, concat(CASE WHEN o_orderkey % 3 = 0 THEN 'valid-' ELSE 'invalid-' END, CAST(o_orderkey AS VARCHAR), '.json') AS file, o_orderkey % 3 = 0 AS expected,
+{_RULE} IS NULL AS valid, {_RULE} AS first_rule FROM orders WHERE (o_orderkey % 3 = 0) <> ({_RULE} IS NULL)""",
+)
+def _(t):
+    k = F.col("bom_id")
+    name = F.concat(F.lit("/corpus/"), F.when(k % 3 == 0, "valid-").otherwise("invalid-"), k.cast("string"), F.lit(".json"))
+    docs = defect_docs(t).withColumn("source_path", name)
+    return R.verdict_vs_expected(R.document_verdict(docs, R.validate(docs)), docs)

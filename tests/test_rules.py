@@ -4,7 +4,7 @@ from conftest import doc_frame
 
 from bomspark.operators import rules as R
 
-OK = {"specVersion": "1.7", "serialNumber": "urn:uuid:3e671687-395b-41f5-a30f-a58921a69b79", "version": 1}
+OK = {"specVersion": "1.7", "serialNumber": "urn:uuid:5b1f1e0c-93d4-4d0e-8a52-6a1c0f7e2d90", "version": 1}
 COMP = {"type": "library", "name": "n", "version": "1"}
 
 
@@ -41,6 +41,12 @@ CASES = {
     "property name": (doc(properties=[{"value": "v"}]), "required"),
     "issue type": (doc({"pedigree": {"patches": [{"type": "backport", "resolves": [{"type": "x"}]}]}}), "enum"),
     "version zero": (doc(version=0), "range"),
+    "crypto level": (doc({"type": "cryptographic-asset", "cryptoProperties": {"assetType": "algorithm", "algorithmProperties": {"nistQuantumSecurityLevel": 7}}}), "range"),
+    "marking": (doc(metadata={"distributionConstraints": {"tlp": "PINK"}}), "enum"),
+    "rating method": (doc(vulnerabilities=[{"id": "V-1", "ratings": [{"method": "dice"}]}]), "enum"),
+    "technique": (doc({"evidence": {"identity": [{"field": "name", "methods": [{"technique": "guess", "confidence": 0.5}]}]}}), "enum"),
+    "equal entries in an old version": (json.dumps({"specVersion": "1.3", "version": 1, "components": [COMP, COMP]}), "unique_items"),
+    "equal entries in a new version": (json.dumps({**OK, "components": [COMP, COMP]}), None),
 }
 
 
