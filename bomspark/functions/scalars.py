@@ -37,19 +37,19 @@ def enum_canonical(col: Col, enum: str) -> Column:
     return F.when(unset, F.lit(None)).otherwise(F.coalesce(F.try_element_at(lookup, c), c))
 
 
-_PURL = r"^pkg:/*([A-Za-z][A-Za-z0-9.+-]*)/(?:([^?#@]*)/)?([^/?#@]+)(?:@([^?#]*))?(?:\?([^#]*))?(?:#(.*))?$"
+PURL = r"^pkg:/*([A-Za-z][A-Za-z0-9.+-]*)/(?:([^?#@]*)/)?([^/?#@]+)(?:@([^?#]*))?(?:\?([^#]*))?(?:#(.*))?$"
 
 
 def purl_parts(col: Col) -> Column:
     c = _c(col)
 
     def part(i: int, decode: bool = True) -> Column:
-        got = F.nullif(F.regexp_extract(c, _PURL, i), F.lit(""))
+        got = F.nullif(F.regexp_extract(c, PURL, i), F.lit(""))
         # '+' is a plain character in package urls, url_decode would make it a space
         return F.try_url_decode(F.replace(got, F.lit("+"), F.lit("%2B"))) if decode else got
 
     return F.when(
-        c.rlike(_PURL),
+        c.rlike(PURL),
         F.struct(
             F.lower(part(1, False)).alias("type"),
             part(2).alias("namespace"),
@@ -65,16 +65,18 @@ def purl_without_version(col: Col) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(col), r"[?#].*$", ""), r"@[^@/]*$", "")
 
 
+CPE_FIELDS = ("part", "vendor", "product", "version", "update", "edition", "language")
+CPE_MORE = ("sw_edition", "target_sw", "target_hw", "other")
+
+
 def cpe_parts(col: Col) -> Column:
     """Fields of a 2.2 (``cpe:/``) or 2.3 name; ``\\:`` does not split."""
     c = _c(col)
     new = c.startswith("cpe:2.3:")
     body = F.when(new, c.substr(F.lit(9), F.length(c))).otherwise(F.regexp_replace(c, "^(?i)cpe:/", ""))
     parts = F.split(body, r"(?<!\\):")
-    names = "part vendor product version update edition language".split()
-    more = "sw_edition target_sw target_hw other".split()
-    fields = [F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]
-    fields += [F.when(new, F.get(parts, F.lit(i + 7))).alias(n) for i, n in enumerate(more)]
+    fields = [F.nullif(F.get(parts, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(CPE_FIELDS)]
+    fields += [F.when(new, F.get(parts, F.lit(i + len(CPE_FIELDS)))).alias(n) for i, n in enumerate(CPE_MORE)]
     form = F.when(new, "2.3").otherwise("2.2").alias("form")
     return F.when(c.rlike("^(?i)cpe:"), F.struct(form, *fields))
 
@@ -86,17 +88,17 @@ def bom_link_make(serial: Col, version: Col, ref: Col | None = None) -> Column:
     return F.when(_c(ref).isNull(), base).otherwise(F.concat(base, F.lit("#"), _c(ref)))
 
 
-_LINK = rf"^urn:cdx:({en.UUID})/([1-9][0-9]*)(?:#(.+))?$"
+LINK = rf"^urn:cdx:({en.UUID})/([1-9][0-9]*)(?:#(.+))?$"
 
 
 def bom_link_parts(col: Col) -> Column:
     c = _c(col)
     return F.when(
-        c.rlike(_LINK),
+        c.rlike(LINK),
         F.struct(
-            F.regexp_extract(c, _LINK, 1).alias("uuid"),
-            F.regexp_extract(c, _LINK, 2).try_cast("int").alias("version"),
-            F.nullif(F.regexp_extract(c, _LINK, 3), F.lit("")).alias("ref"),
+            F.regexp_extract(c, LINK, 1).alias("uuid"),
+            F.regexp_extract(c, LINK, 2).try_cast("int").alias("version"),
+            F.nullif(F.regexp_extract(c, LINK, 3), F.lit("")).alias("ref"),
         ),
     )
 
@@ -138,7 +140,7 @@ def version_key(col: Col) -> Column:
 
 
 KNOWN_SCHEMES = ("generic", "semver")
-_CONSTRAINT = r"^\s*(>=|<=|!=|<|>|=)?\s*(.*?)\s*$"
+CONSTRAINT = r"^\s*(>=|<=|!=|<|>|=)?\s*(.*?)\s*$"
 
 
 def vers_constraints(col: Col) -> Column:
@@ -149,8 +151,8 @@ def vers_constraints(col: Col) -> Column:
     items = F.transform(
         parts,
         lambda p: F.struct(
-            F.coalesce(F.nullif(F.regexp_extract(p, _CONSTRAINT, 1), F.lit("")), F.lit("=")).alias("op"),
-            F.try_url_decode(F.replace(F.regexp_extract(p, _CONSTRAINT, 2), F.lit("+"), F.lit("%2B"))).alias("version"),
+            F.coalesce(F.nullif(F.regexp_extract(p, CONSTRAINT, 1), F.lit("")), F.lit("=")).alias("op"),
+            F.try_url_decode(F.replace(F.regexp_extract(p, CONSTRAINT, 2), F.lit("+"), F.lit("%2B"))).alias("version"),
         ),
     )
     kept = F.filter(items, lambda x: x["version"] != "")

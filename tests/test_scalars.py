@@ -85,3 +85,21 @@ def test_walk_document(spark):
     rows = spark.sql("""SELECT * FROM walk_document('{"a":[1,"x"],"b/c":null}')""").collect()
     assert {(r.pointer, r.kind, r.value) for r in rows} == {
         ("", "object", None), ("/a", "array", None), ("/a/0", "scalar", "1"), ("/a/1", "scalar", "x"), ("/b~1c", "scalar", "null")}
+
+
+def test_sql_names_agree_with_column_functions(spark):
+    sqlfuncs.register_functions(spark)
+    cases = {
+        "purl_parts": (S.purl_parts, ["pkg:npm/%40ng/core@1.0?a=b#x/y", "pkg:gem/n", "no", None, "pkg:Deb/d/n@1+2"]),
+        "cpe_parts": (S.cpe_parts, ["cpe:2.3:a:v:p\\:q:1:*:*:*:*:*:*:*", "cpe:/o:v:p:2", "x", None]),
+        "bom_link_parts": (S.bom_link_parts, ["urn:cdx:5b1f1e0c-93d4-4d0e-8a52-6a1c0f7e2d90/2#r a", "urn:cdx:5b1f1e0c-93d4-4d0e-8a52-6a1c0f7e2d90/1", "urn:x", None]),
+        "gitoid_parts": (S.gitoid_parts, ["gitoid:blob:sha1:ab", "gitoid:blob", "x", None]),
+        "swhid_parts": (S.swhid_parts, ["swh:1:cnt:ab;origin=x", "swh:x", "y", None]),
+        "vers_constraints": (S.vers_constraints, ["vers:npm/>=1.0|<2%2B", "vers:generic/*", "bad", None]),
+    }
+    for name, (fn, values) in cases.items():
+        df = spark.createDataFrame([(v,) for v in values], "v string")
+        for r in df.select(fn(F.col("v")).alias("a"), F.expr(f"{name}(v)").alias("b")).collect():
+            assert r.a == r.b, name
+    v = spark.createDataFrame([("SEVERITY_HIGH",), ("high",), ("",), (None,)], "v string")
+    assert all(r.a == r.b for r in v.select(S.enum_canonical("v", "severity").alias("a"), F.expr("enum_canonical(v, 'severity')").alias("b")).collect())
