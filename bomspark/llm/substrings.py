@@ -32,7 +32,9 @@ from .common import Spans, byte_views, mix, raw
 
 LENGTH = 50
 #: Text a deal stands for.
-DEAL_BYTES = 16 << 20
+DEAL_BYTES = 8 << 20
+#: Text and anchors that a task works on at once.
+VIEW_BYTES, FLUSH_ANCHORS = 512 << 10, 500_000
 #: Contested anchors of one hash in one deal, beyond which they are dealt by window.
 HOT = 2_000
 SHALLOW = 24
@@ -170,27 +172,33 @@ def _anchor_rows(batches, length: int, deals: int):
     """Anchors by hash (deals 0 ...) and marks by document (deals ``deals`` ...)."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        got = []
-        for lo, hi, data, offsets in byte_views(batch.column("body")):
+        got, n = [], 0
+        for lo, hi, data, offsets in byte_views(batch.column("body"), VIEW_BYTES):
             row, pos, gram, around, mark = anchors(data, offsets, length)
-            got.append((ids[lo:hi][row], mark[row], pos, gram, around))
-        if not got:
-            continue
-        doc, mark, pos, gram, around = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((doc, around, gram))
-        doc, mark, pos, gram, around = (x[order] for x in (doc, mark, pos, gram, around))
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])][: len(gram)]
-        lowest = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
-        sent = doc == lowest
-        settled = ~sent
-        # anchors in order of document and place, which packs better
-        out = np.flatnonzero(sent)
-        out = out[np.lexsort((pos[out], doc[out]))]
-        deal = ((gram[out] >> _U(32)) % _U(deals)).astype(np.int64)
-        a = _deals(deal, {"doc": doc[out], "mark": mark[out], "pos": pos[out].astype(np.uint32), "gram": gram[out].astype(np.uint32), "around": around[out]})
-        b = _deals(deals + _doc_deal(doc[settled], mark[settled], deals), {"doc": doc[settled], "mark": mark[settled], "pos": pos[settled].astype(np.uint32)})
-        frame = pd.concat([a, b], ignore_index=True)
-        yield pa.RecordBatch.from_pandas(frame, schema=_ANCHORS, preserve_index=False)
+            got.append((ids[lo:hi][row], mark[row], pos.astype(np.uint32), gram, around))
+            n += len(row)
+            if n >= FLUSH_ANCHORS:
+                yield _dealt_anchors(got, deals)
+                got, n = [], 0
+        if n:
+            yield _dealt_anchors(got, deals)
+
+
+def _dealt_anchors(got: list, deals: int) -> pa.RecordBatch:
+    doc, mark, pos, gram, around = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.lexsort((doc, around, gram))
+    doc, mark, pos, gram, around = (x[order] for x in (doc, mark, pos, gram, around))
+    new = np.r_[True, (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])][: len(gram)]
+    lowest = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+    sent = doc == lowest
+    settled = ~sent
+    # anchors in order of document and place, which packs better
+    out = np.flatnonzero(sent)
+    out = out[np.lexsort((pos[out], doc[out]))]
+    deal = ((gram[out] >> _U(32)) % _U(deals)).astype(np.int64)
+    a = _deals(deal, {"doc": doc[out], "mark": mark[out], "pos": pos[out], "gram": gram[out].astype(np.uint32), "around": around[out]})
+    b = _deals(deals + _doc_deal(doc[settled], mark[settled], deals), {"doc": doc[settled], "mark": mark[settled], "pos": pos[settled]})
+    return pa.RecordBatch.from_pandas(pd.concat([a, b], ignore_index=True), schema=_ANCHORS, preserve_index=False)
 
 
 _ANCHORS = pa.schema([("deal", pa.int64()), *((n, pa.binary()) for n in ("doc", "mark", "pos", "gram", "around"))])
