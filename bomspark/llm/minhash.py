@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bomspark.session import cut
 
@@ -105,6 +105,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", (common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).alias("similar"))
 
 
+def can_be_similar(similarity: float) -> Column:
+    """Whether sets of na and nb shingles, ua and ub of them in no other set,
+    can reach ``similarity``: they share at most what neither has alone."""
+    most = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
+    return most >= F.lit(similarity) * (F.col("na") + F.col("nb") - most)
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) for every row.
 
@@ -114,11 +121,12 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     document (all their texts link to it). Empty tables give no rows; other
     columns are ignored.
 
-    Documents of one shingle set are one representative before banding. In each
-    round every representative is compared with the smallest one of its buckets
-    that is in another component and that it was not compared with; what is left in a
-    bucket after that is compared pair by pair across components, so no link
-    is lost to the star shape."""
+    Documents of one shingle set are one representative before banding. Each
+    representative is first compared with the smallest one of its buckets.
+    Buckets that still hold several components compare all with one head, the
+    set with the fewest shingles that no other has; what is left is compared
+    pair by pair across components, unless the shingles that a set has alone
+    rule it out. So no link is lost to the star shape."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw(lower=True).alias("body"))
     sig = cut(rows.mapInArrow(lambda b: signature_rows(b, size, bands, band_rows), "doc_id long, h1 long, h2 long, n long, keys array<long>"))
     own = sig.where("n > 0 and doc_id is not null")
@@ -132,37 +140,45 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     sets = cut(sets.mapInArrow(lambda b: set_rows(b, size), "node long, shingles array<long>"))
     repeated = own.where("doc_id is not null").select("doc_id", "h1", "h2").join(same, ["h1", "h2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
-    root = bucketed.select("node").distinct().withColumn("root", F.col("node"))
-    links = None
-    done = None  # pairs compared so far
-    for last in (False, False, True):
+    everyone = bucketed.select("node").distinct()
+
+    def merged(links: DataFrame) -> DataFrame:
+        part = components(links)
+        return cut(everyone.join(part, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+
+    # one partner each, the smallest of all buckets
+    low = bucketed.groupBy("key").agg(F.min("node").alias("a"))
+    pairs = bucketed.join(low, "key").where("a <> node").groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
+    judged = cut(verified(pairs, sets, similarity))
+    links, done = judged.where("similar").select("a", "b"), judged.select("a", "b")
+    root = merged(links)
+    mixed, alone = None, None
+    for heads_only in (True, False):
         at = bucketed.join(root, "node")
-        if last:
-            # across components within a bucket; sets whose sizes are too far apart can't pass
-            mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-            at = at.join(mixed, "key")
-            one = at.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-            two = at.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-            pairs = one.join(two, "key").where("a < b and ra <> rb").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
-            pairs = pairs.select("a", "b").distinct()
+        spread = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+        mixed = at.join(spread, "key")
+        if alone is None:
+            # how many shingles of a set are in no other set of these buckets
+            left = mixed.select("node").distinct()
+            single = sets.join(left, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+            single = single.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
+            alone = cut(left.join(single.groupBy("node").agg(F.count("*").alias("u")), "node", "left").select("node", F.coalesce("u", F.lit(0)).alias("u")))
+        one = mixed.join(alone, "node").where(F.col("n") - F.col("u") >= similarity * F.col("n"))
+        one = one.join(heads.select("node", "keys"), "node")
+        one = one.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("keys").alias("ka"))
+        two = one.toDF("key", "b", "rb", "nb", "ub", "kb")
+        if heads_only:
+            # the head of a bucket is the set with the fewest shingles of its own, so it is near the most others
+            head = one.groupBy("key").agg(F.min(F.struct("ua", "a", "ra", "na")).alias("h")).select("key", "h.*")
+            pairs = head.join(two, "key").where("a <> b")
         else:
-            low = at.groupBy("key").agg(F.min(F.struct("node", "root", "n")).alias("low"))
-            at = at.join(low, "key").where("node <> low.node and root <> low.root")
-            at = at.where(F.least("n", "low.n") >= similarity * F.greatest("n", "low.n"))
-            # the first round asks for one partner each, the second for the head of every bucket
-            pairs = at.groupBy("node").agg(F.min("low.node").alias("a")) if done is None else at.select("node", F.col("low.node").alias("a")).distinct()
-            pairs = pairs.select("a", F.col("node").alias("b"))
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
+            # a pair is formed in the first bucket that it shares
+            pairs = one.join(two, "key").where("a < b").where(F.get(F.array_intersect("ka", "kb"), F.lit(0)) == F.col("key"))
+        pairs = pairs.where(F.col("ra") != F.col("rb")).where(can_be_similar(similarity))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         judged = cut(verified(pairs, sets, similarity))
-        found = judged.where("similar").select("a", "b")
-        done = judged.select("a", "b") if done is None else done.union(judged.select("a", "b"))
-        links = found if links is None else links.union(found)
-        if last and found.limit(1).count() == 0:
-            break
-        part = components(links)
-        root = bucketed.select("node").distinct().join(part, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-        root = cut(root)
+        links, done = links.union(judged.where("similar").select("a", "b")), done.union(judged.select("a", "b"))
+        root = merged(links)
     # documents of one set hang on its representative, repeated ids on all theirs
     named = own.groupBy("doc_id").agg(F.count_distinct("h1", "h2").alias("k")).where("k > 1").select("doc_id")
     several = repeated.join(named, repeated.a == named.doc_id, "left_semi")

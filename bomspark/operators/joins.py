@@ -100,15 +100,14 @@ def package_versions(components: DataFrame) -> DataFrame:
 
 
 def with_version_key(df: DataFrame, out: str = "_k") -> DataFrame:
-    """Version keys are computed once per distinct version text."""
-    keys = df.select("version").distinct().withColumn(out, S.version_key("version"))
-    return df.join(keys, "version")
+    """``df`` holds each version of a package once, so its key is a projection;
+    a join with the distinct texts would read the input again."""
+    return df.withColumn(out, S.version_key("version"))
 
 
 def with_compiled_range(df: DataFrame, out: str = "_r") -> DataFrame:
-    """Ranges are compiled once per distinct range text."""
-    ranges = df.select("vers_range").distinct().withColumn(out, S.range_compiled("vers_range"))
-    return df.join(ranges, "vers_range")
+    """As :func:`with_version_key`, for ranges."""
+    return df.withColumn(out, S.range_compiled("vers_range"))
 
 
 def match_vulnerabilities(components: DataFrame, vulns: DataFrame) -> DataFrame:

@@ -237,6 +237,11 @@ def _(t):
     return sets.common_components(*_pair(t))
 
 
+@query("common_components_all", PAIR_SQL + "SELECT * FROM a INTERSECT ALL SELECT * FROM z", "bom component")
+def _(t):
+    return sets.common_components_all(*_pair(t))
+
+
 @query("only_in_first", PAIR_SQL + "SELECT * FROM a EXCEPT ALL SELECT * FROM z", "bom component")
 def _(t):
     return sets.only_in_first(*_pair(t))

@@ -139,6 +139,20 @@ def _(t):
     )
 
 
+@query(
+    "affected_components_by_ref",
+    """a AS (SELECT bom_id, concat('V-', CAST(package_id AS VARCHAR)) AS vuln_id, bom_ref AS ref FROM component WHERE package_id % 9 = 0
+UNION ALL SELECT bom_id, 'V-lost', 'gone' FROM bom)
+SELECT a.bom_id, vuln_id, a.ref, c.name, c.version FROM a LEFT JOIN component c ON c.bom_id = a.bom_id AND c.bom_ref = a.ref""",
+    "bom component",
+)
+def _(t):
+    named = t.component.filter("package_id % 9 = 0").select("bom_id", F.concat(F.lit("V-"), F.col("package_id").cast("string")).alias("vuln_id"), F.col("bom_ref").alias("ref"))
+    lost = t.bom.select("bom_id", F.lit("V-lost").alias("vuln_id"), F.lit("gone").alias("ref"))
+    got = J.affected_components(named.unionByName(lost), t.component.select("bom_id", "bom_ref", "name", "version"))
+    return got.select("bom_id", "vuln_id", "ref", "name", "version")
+
+
 @query(
     "match_vulnerabilities",
     f"""pv AS (SELECT package_id, version, count(*) AS n_components FROM component GROUP BY 1, 2),
