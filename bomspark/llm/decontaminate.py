@@ -11,6 +11,7 @@ sentence) too, so that paraphrases are found and shared function words are not.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,16 +21,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import byte_views, raw, unused, words
 
 #: Items searched in one pass over the documents. More items take more passes.
-ITEMS_PER_BLOCK = 2_000
-RANK, OVERSAMPLE, POWER_STEPS = 128, 16, 2
+#: A block's space has as many dimensions as items unless told otherwise: with
+#: fewer, an item can lie outside the space and is not found.
+ITEMS_PER_BLOCK = 256
+OVERSAMPLE, POWER_STEPS = 16, 2
 #: A window has twice STRIDE words and starts every STRIDE words.
 STRIDE = 16
-COSINE = 0.4
+COSINE = 0.35
 #: Share of an item's words in the common subsequence: enough alone; enough if the answer is there as well.
-SURE, LIKELY, ANSWER = 0.6, 0.5, 0.75
+SURE, LIKELY, ANSWER = 0.6, 0.55, 0.75
 MIN_WORDS = 5
-#: Words in a larger share of the documents don't enter the space, except for items with fewer than FEW rarer ones.
-MAX_DF, FEW = 0.1, 3
+#: Words in a larger share of the documents don't enter the space, unless they are among an item's FEW rarest ones.
+MAX_DF, FEW = 0.01, 6
 
 
 def item_words(text: str | None) -> tuple[np.ndarray, int]:
@@ -103,7 +106,7 @@ def document_frequency(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray,
     return out[:size], int(out[size])
 
 
-def randomised_svd(rows: DataFrame, n_features: int, rank: int = RANK, oversample: int = OVERSAMPLE, steps: int = POWER_STEPS) -> np.ndarray:
+def randomised_svd(rows: DataFrame, n_features: int, rank: int, oversample: int = OVERSAMPLE, steps: int = POWER_STEPS) -> np.ndarray:
     """Right singular vectors (n_features x rank) of the sparse matrix whose
     rows are (idx array<int>, val array<double>). Each step is one Spark job
     that multiplies its rows with the present basis and sums the products by
@@ -143,18 +146,16 @@ def randomised_svd(rows: DataFrame, n_features: int, rank: int = RANK, oversampl
     return (last @ turn[:, ::-1])[:, :rank]
 
 
-def _space(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarray, int]], rank: int):
+def _space(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarray, int]], rank: int | None):
     """Vocabulary, idf-weighted projection of its words, unit vectors of the items."""
     known = np.unique(np.concatenate([h for _, h, _ in items]))
     df, n = document_frequency(docs, known)
     idf = np.log((n + 1) / (df + 1)) + 1e-3
     vocab = Vocabulary(known)
-    rare = df <= MAX_DF * max(n, 10)
-    index = [np.unique(vocab.index(h)) for _, h, _ in items]
-    stays = rare.copy()
-    for k in index:
-        if rare[k].sum() < FEW:
-            stays[k] = True
+    stays = df <= MAX_DF * max(n, 50)
+    for _, h, _ in items:
+        k = np.unique(vocab.index(h))
+        stays[k[np.argsort(df[k], kind="stable")[:FEW]]] = True
     known, idf = known[stays], idf[stays]
     vocab = Vocabulary(known)
     rows = []
@@ -164,7 +165,7 @@ def _space(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
         val = tf * idf[k]
         rows.append((k.tolist(), (val / np.linalg.norm(val)).tolist()))
     matrix = spark.createDataFrame(rows, "idx array<int>, val array<double>").repartition(8)
-    v = randomised_svd(matrix, len(known), rank)
+    v = randomised_svd(matrix, len(known), min(rank or len(items), len(items)))
     projection = (idf[:, None] * v).astype(np.float32)
     vectors = np.array([np.asarray(val) @ v[idx] for idx, val in rows], np.float32)
     return vocab, projection, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
@@ -200,11 +201,33 @@ def windows(k: np.ndarray, row: np.ndarray, n_rows: int, projection: np.ndarray)
     return own, (both - base[own]) * STRIDE, out
 
 
+def _compare(text: list[int], starts: list[int], m: int, masks: dict[int, int], count: Counter, m_answer: int, answer_masks: dict[int, int]) -> tuple[float, float]:
+    """Best (lcs, answer) of an item over the windows of a text at ``starts``,
+    each widened by the item's length; 0 below LIKELY. A subsequence is no
+    longer than the item's words that occur at all, so most runs of windows are
+    left without computing one."""
+    top = (0.0, 0.0)
+    lo = 0
+    for hi in range(1, len(starts) + 1):
+        if hi < len(starts) and starts[hi] - starts[hi - 1] <= 4 * STRIDE:
+            continue
+        run, lo = starts[lo:hi], hi
+        there = count.keys() & set(text[max(0, run[0] - m) : run[-1] + 2 * STRIDE + m])
+        if sum(count[w] for w in there) < LIKELY * m:
+            continue
+        for at in run:
+            part = text[max(0, at - m) : at + 2 * STRIDE + m]
+            lcs = common_length(masks, m, part) / m
+            if lcs >= LIKELY:
+                top = max(top, (lcs, common_length(answer_masks, m_answer, part) / m_answer))
+    return top
+
+
 def _search(docs: DataFrame, items, space, cosine: float) -> DataFrame:
     """(doc_id, item_id, lcs, answer, contaminated) of every document and item that come close."""
     vocab, projection, vectors = space
     share = docs.sparkSession.sparkContext.broadcast(
-        (vocab, projection, vectors, [(i, len(h), masks_of(h), len(h) - a, masks_of(h[a:])) for i, h, a in items])
+        (vocab, projection, vectors, [(i, len(h), masks_of(h), Counter(h.tolist()), len(h) - a, masks_of(h[a:])) for i, h, a in items])
     )
 
     def run(batches):
@@ -216,24 +239,16 @@ def _search(docs: DataFrame, items, space, cosine: float) -> DataFrame:
                 k = vocab.index(h)
                 first = np.searchsorted(row, np.arange(hi - lo + 1))
                 own, start, vec = windows(k, row, hi - lo, projection)
-                best: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                near: dict[tuple[int, int], list[int]] = {}
                 for s in range(0, len(vec), 20_000):
                     w, i = np.nonzero(vec[s : s + 20_000] @ vectors.T >= cosine)
                     for r, at, item in zip(own[w + s].tolist(), start[w + s].tolist(), i.tolist(), strict=True):
-                        m = items[item][1]
-                        a, b = max(0, at - m), at + 2 * STRIDE + m
-                        spans = best.setdefault((r, item), [])
-                        spans.append((a, b))
-                for (r, item), spans in best.items():
-                    item_id, m, masks, m_answer, answer_masks = items[item]
-                    top = (0.0, 0.0)
-                    for a, b in spans:
-                        seq = h[first[r] + a : min(first[r] + b, first[r + 1])].tolist()
-                        lcs = common_length(masks, m, seq) / m
-                        if lcs >= LIKELY:
-                            top = max(top, (lcs, common_length(answer_masks, m_answer, seq) / m_answer))
+                        near.setdefault((r, item), []).append(at)
+                h = h.tolist() if near else h
+                for (r, item), starts in near.items():
+                    top = _compare(h[first[r] : first[r + 1]], starts, *items[item][1:])
                     if top[0]:
-                        found.append((lo + r, item_id, *top))
+                        found.append((lo + r, items[item][0], *top))
             ids = batch.column("doc_id").take(pa.array([x[0] for x in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array([x[1] for x in found], pa.int64()), *(pa.array([x[j] for x in found], pa.float64()) for j in (2, 3))], names=["doc_id", "item_id", "lcs", "answer"])
 
@@ -241,7 +256,7 @@ def _search(docs: DataFrame, items, space, cosine: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, item_id long, lcs double, answer double")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rank: int | None = None, cosine: float = COSINE) -> DataFrame:
     """(doc_id, item_id, lcs, answer) for every document that holds an item:
     lcs at least SURE, or at least LIKELY with an ANSWER share of the answer.
 
@@ -254,6 +269,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: flo
     blocks = max(1, -(-total // ITEMS_PER_BLOCK))
     out = None
     for b in range(blocks):
+        # a block's items are the query set of one pass
         part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").collect()
         items = [(i, *item_words(t)) for i, t in sorted(part, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
         items = [x for x in items if len(x[1]) >= MIN_WORDS]
