@@ -12,6 +12,7 @@ sets, and classes are the connected components of the pairs that pass.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,6 +25,9 @@ SIMILARITY = 0.8
 #: At similarity 0.8 a pair misses every band with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, BAND_ROWS = 32, 6
 
+#: Pairs that are verified together.
+PAIRS_PER_DEAL = 10_000
+
 _U = np.uint64
 
 
@@ -97,12 +101,29 @@ def set_rows(batches, size: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, similar) for each pair; the shingle sets decide."""
-    left = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.join(left, "b").join(right, "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).alias("similar"))
+    """(a, b, similar) for each pair; the shingle sets decide.
+
+    Pairs are dealt by b, about PAIRS_PER_DEAL to a deal, and a set goes once to
+    each deal that needs it, however many of its pairs are there."""
+    pairs = cut(pairs.select("a", "b"))
+    deals = max(1, -(-pairs.count() // PAIRS_PER_DEAL))
+    pairs = pairs.withColumn("deal", F.pmod(F.xxhash64("b", F.pmod("a", F.lit(8))), F.lit(deals)))
+    needed = pairs.select("deal", F.col("a").alias("node")).union(pairs.select("deal", F.col("b").alias("node"))).distinct()
+    sent = needed.join(sets, "node").select(F.col("deal").alias("to"), "node", "shingles")
+
+    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        # kept in the order of unsigned hashes
+        held = {n: x.view(_U) for n, x in zip(right.node.tolist(), right.shingles, strict=True)}
+        out = np.zeros(len(left), bool)
+        for i, (a, b) in enumerate(zip(left.a.tolist(), left.b.tolist(), strict=True)):
+            x, y = held[a], held[b]
+            if len(x) > len(y):
+                x, y = y, x
+            common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            out[i] = common >= similarity * (len(x) + len(y) - common)
+        return left[["a", "b"]].assign(similar=out)
+
+    return pairs.groupBy("deal").cogroup(sent.groupBy("to")).applyInPandas(judge, "a long, b long, similar boolean")
 
 
 def can_be_similar(similarity: float) -> Column:
