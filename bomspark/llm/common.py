@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from bomspark.session import cut
 
 #: Bytes of text that one round of array work takes; a longer document is taken alone.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 _MULT, _INV = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 

@@ -26,7 +26,7 @@ SIMILARITY = 0.8
 BANDS, BAND_ROWS = 32, 6
 
 #: Pairs that are verified together.
-PAIRS_PER_DEAL = 10_000
+PAIRS_PER_DEAL = 2_000
 
 _U = np.uint64
 
