@@ -2,16 +2,19 @@
 
 Documents are tokenised where they lie and cut only if longer than a sequence.
 How many pieces there are of each length (at most ``capacity`` numbers) decides
-the plan: sequences are built around the largest piece left, from the
-undominated fillings of the rest, by branch and bound with best fit as the
-incumbent; one pattern serves as many sequences as the counts allow. Pieces are
-then numbered within their length, group by group, and placed by number.
+the plan: branch and bound over the undominated fillings of each largest piece,
+with whole best-fit decreasing (or the fullest filling of each largest piece,
+if that needs fewer sequences) as the incumbent. It ends when a plan meets the
+lower bound, when nothing is left to try, or after STEPS steps. Pieces are then
+numbered within their length, group by group, and placed by number.
 """
 
 from __future__ import annotations
 
 import base64
+import math
 import zlib
+from collections import deque
 
 import numpy as np
 import pandas as pd
@@ -25,8 +28,8 @@ CAPACITY = 1024
 END = 2
 #: Pieces of one length are numbered in groups of about this many.
 GROUP_ROWS = 50_000
-#: Search steps for one sequence before its best filling so far is taken.
-NODES = 2_000
+#: Steps of the whole search for a better plan before the best so far is taken.
+STEPS = 20_000
 
 _SPECIAL = "<|endoftext|>"
 
@@ -99,54 +102,210 @@ def best_fit(counts: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def completion(counts: np.ndarray, room: int, nodes: int = NODES) -> list[int]:
-    """Lengths, largest first, that fill ``room`` with the least waste.
-
-    Branches take the next length in falling order. A filling is dominated if a
-    single unused length fits in the place of some of its parts (Martello and
-    Toth), so a branch that ends with one piece ends with the largest that
-    fits; a branch is left once the waste it can't avoid is not below the
-    incumbent's. The search ends at a waste of 0 or after ``nodes`` steps.
-    Among equal wastes the filling with fewer, longer pieces stays."""
-    best = best_fit(counts, room)
-    waste = room - sum(best)
-    if not waste:
-        return best
+class Budget:
+    """Steps that a search may still take; None has no end."""
+
+    def __init__(self, steps: int | None):
+        self.left = float("inf") if steps is None else steps
+
+    def step(self, n: int = 1) -> bool:
+        self.left -= n
+        return self.left >= 0
+
+
+def best_fit_plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing of all pieces, sequences of one content counted together."""
+    rooms: list[dict[tuple[int, ...], int]] = [{} for _ in range(capacity + 1)]
+    for s in map(int, np.flatnonzero(counts)[::-1]):
+        c, at = int(counts[s]), s
+        while c:
+            while at < capacity and not rooms[at]:
+                at += 1
+            # a sequence that took one piece is the fullest that fits, so it goes on while there is room
+            k = at // s
+            content, n = rooms[at].popitem() if rooms[at] else ((), c // k + 1)
+            whole, some = min(n, c // k), 0
+            if whole < n and c > whole * k:
+                some = c - whole * k
+            for times, more in ((whole, k), (1, some)):
+                if times and more:
+                    grown = (*content, *[s] * more)
+                    rooms[at - more * s][grown] = rooms[at - more * s].get(grown, 0) + times
+            if content and (rest := n - whole - bool(some)):
+                rooms[at][content] = rest
+            c -= whole * k + some
+    return [(list(content), n) for room in rooms for content, n in sorted(room.items(), reverse=True)]
+
+
+def _sums(counts: np.ndarray, room: int) -> tuple[list[int], list[int], list[int]]:
+    """Lengths up to ``room`` in falling order, how many of each can be in it,
+    and as bit sets the sums that those from each one on can make."""
     sizes = [int(s) for s in np.flatnonzero(counts[: room + 1]) if s][::-1]
-    if not sizes:
-        return []
-    smallest, have = sizes[-1], np.zeros(room + 1, bool)
-    have[sizes] = True
-    steps = 0
-    stack: list[tuple[int, list[int], int]] = [(room, [], 0)]
-    while stack and waste and steps < nodes:
-        left, taken, at = stack.pop()
-        steps += 1
-        if left < waste:
-            best, waste = taken, left
-        if left < smallest:
+    have = [min(int(counts[s]), room // s) for s in sizes]
+    mask, reach = (1 << room + 1) - 1, [1]
+    for s, k in zip(sizes[::-1], have[::-1], strict=True):
+        bits, step = reach[-1], 1
+        while k and bits != mask:
+            some = min(step, k)
+            bits |= bits << some * s & mask
+            k, step = k - some, step * 2
+        reach.append(bits)
+    return sizes, have, reach[::-1]
+
+
+def fillings(counts: np.ndarray, room: int, budget: Budget):
+    """The undominated ways to fill ``room`` from ``counts``, least waste first,
+    of equal waste the lexically largest first; lengths fall in each.
+
+    Which sums the lengths from the j-th on can make is a bit set, so no branch
+    ends without a filling. A filling is dominated (Martello and Toth) if an
+    unused piece fits in the place of one shorter part, of several parts, or
+    of none; the first filling never is."""
+    sizes, have, reach = _sums(counts, room)
+
+    def dominated(taken: list[int], waste: int) -> bool:
+        spare = 0
+        for s, k in zip(sizes, have, strict=True):
+            if int(counts[s]) > taken.count(s):
+                spare |= 1 << s
+        fit = lambda x: spare >> x & (1 << waste + 1) - 1
+        if waste and fit(1) & (1 << waste) - 1:
+            return True
+        one, several = 1, 0  # sums of at most one part, of two and more
+        for s in taken:
+            several |= several << s | (one & ~1) << s
+            one |= 1 << s
+        if waste and any(fit(s + 1) & (1 << waste) - 1 for s in set(taken)):
+            return True
+        while several:
+            x = (several & -several).bit_length() - 1
+            if fit(x):
+                return True
+            several &= several - 1
+        return False
+
+    for total in range(room, -1, -1):
+        if not reach[0] >> total & 1:
             continue
-        # one piece that fills the rest exactly dominates every other end
-        if have[left] and counts[left] > taken.count(left):
-            best, waste = [*taken, left], 0
-            break
-        branches = []
-        for j in range(at, len(sizes)):
-            s = sizes[j]
-            if s > left or counts[s] <= taken.count(s):
+        stack: list[tuple[int, int, list[int]]] = [(0, total, [])]
+        while stack:
+            j, left, taken = stack.pop()
+            if not budget.step():
+                return
+            if not left:
+                if not dominated(taken, room - total):
+                    yield taken
                 continue
-            # what can't be filled any more: less than the smallest piece, but more than nothing
-            if 0 < left - s < smallest and left - s >= waste:
-                continue
-            branches.append((left - s, [*taken, s], j))
-            if len(branches) >= 32:
-                break
-        stack += branches[::-1]
-    return sorted(best, reverse=True)
+            ways = []
+            while j < len(sizes) and reach[j] >> left & 1:
+                s = sizes[j]
+                for k in range(min(have[j], left // s), 0, -1):
+                    if reach[j + 1] >> left - k * s & 1:
+                        ways.append((j + 1, left - k * s, [*taken, *[s] * k]))
+                j += 1
+            stack += ways[::-1]
+
+
+def completion(counts: np.ndarray, room: int) -> list[int]:
+    """Lengths, largest first, that fill ``room`` with the least waste there is."""
+    if sum(best := best_fit(counts, room)) == room:
+        return best
+    return next(fillings(counts, room, Budget(None)), [])
+
+
+def bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """Sequences that are needed at least: Martello and Toth's L2, or the sum
+    of each piece's least share of a sequence (its length by the fullest
+    filling that can hold it), whichever is more."""
+    n = np.r_[0, np.cumsum(counts, dtype=np.int64)]
+    size = np.r_[0, np.cumsum(counts * np.arange(capacity + 1), dtype=np.int64)]
+    k, half = np.arange(capacity // 2 + 1), capacity // 2 + 1
+    above = n[-1] - n[half]
+    # pieces over capacity - k go alone, those over the half one a sequence, and those from k on fill what room is left
+    open_room = (n[capacity - k + 1] - n[half]) * capacity - (size[capacity - k + 1] - size[half])
+    small = size[half] - size[k]
+    most = int((above + np.maximum(0, -(-(small - open_room) // capacity))).max())
+    sums = _sums(counts, capacity)[2][0]
+    made = np.array([sums >> x & 1 for x in range(capacity + 1)], bool)
+    below = np.maximum.accumulate(np.where(made, np.arange(capacity + 1), 0))
+    s = np.flatnonzero(counts)
+    shares = float((counts[s] * (s / (s + below[capacity - s]))).sum())
+    return max(most, math.ceil(shares - 1e-9 * max(1.0, shares)))
+
+
+def _coarse_first(n: int):
+    """n, ..., 1 by bisection: each number once."""
+    yield n
+    ranges = deque([(1, n)])
+    while ranges:
+        lo, hi = ranges.popleft()
+        if lo < hi:
+            mid = (lo + hi) // 2
+            yield mid
+            ranges += [(lo, mid), (mid + 1, hi)]
+
+
+def search(counts: np.ndarray, capacity: int, incumbent: list[tuple[list[int], int]], steps: int | None = STEPS) -> list[tuple[list[int], int]]:
+    """A plan of fewer sequences than ``incumbent``, or ``incumbent`` if there
+    is none (or none was found in ``steps`` steps; None searches to the end).
+
+    Branches over the undominated fillings of the largest piece left and how
+    many sequences get each, depth first with backtracking; best-fit decreasing
+    ends each branch for a better plan early on. A step is a filling, part of
+    one, or a length of the rest that is so ended. A branch is left if
+    its sequences so far and the bound of the rest are not below the best
+    plan's, if its waste is above what the best plan minus one sequence leaves,
+    or if the same rest was met with no more sequences."""
+    best, fewest, least = incumbent, sum(n for _, n in incumbent), bound(counts, capacity)
+    tokens, lengths = int((counts * np.arange(capacity + 1)).sum()), np.flatnonzero(counts)
+    budget, seen = Budget(steps), {}
+
+    def children(left: np.ndarray, used: int, waste: int):
+        largest = int(np.flatnonzero(left)[-1])
+        rest = left.copy()
+        rest[largest] -= 1
+        for filling in fillings(rest, capacity - largest, budget):
+            pattern = [largest, *filling]
+            free = capacity - sum(pattern)
+            allowed = (fewest - 1) * capacity - tokens - waste
+            if free > allowed:
+                return
+            own, each = np.unique(pattern, return_counts=True)
+            times = int((left[own] // each).min())
+            for t in _coarse_first(min(times, allowed // free) if free else times):
+                after = left.copy()
+                after[own] -= t * each
+                yield pattern, t, after, used + t, waste + t * free
+
+    stack, path = [children(counts.astype(np.int64), 0, 0)], []
+    while stack and fewest > least and budget.step():
+        if (child := next(stack[-1], None)) is None:
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        pattern, t, left, used, waste = child
+        if used + bound(left, capacity) >= fewest:
+            continue
+        key = left[lengths].tobytes()
+        if seen.get(key, fewest) <= used:
+            continue
+        seen[key] = used
+        if not budget.step(int(np.count_nonzero(left))):
+            break
+        ending = best_fit_plan(left, capacity)
+        if (whole := used + sum(n for _, n in ending)) < fewest:
+            best, fewest = [*path, (pattern, t), *ending], whole
+        path.append((pattern, t))
+        stack.append(children(left, used, waste))
+    return best
+
 
+def plan(counts: np.ndarray, capacity: int = CAPACITY, steps: int | None = STEPS) -> list[tuple[list[int], int]]:
+    """Patterns (lengths, times) that use up ``counts`` (by length, 0 to capacity).
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """Patterns (lengths, times) that use up ``counts`` (by length, 0 to capacity)."""
+    The better of whole best-fit decreasing and of the fullest filling of each
+    largest piece, as often as counts allow, is where ``search`` starts."""
     left, out = counts.astype(np.int64).copy(), []
     while left.any():
         largest = int(np.flatnonzero(left)[-1])
@@ -158,7 +317,8 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int],
         times = int((left[lengths] // each).min())
         left[lengths] -= times * each
         out.append((pattern, times))
-    return out
+    first = min(best_fit_plan(counts, capacity), out, key=lambda p: sum(n for _, n in p))
+    return search(counts.astype(np.int64), capacity, first, steps)
 
 
 def _places(patterns: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, ...]]:

@@ -263,6 +263,49 @@ def lower_bound(counts, capacity):
     return best
 
 
+def fewest_by_trial(sizes, capacity):
+    best = len(sizes)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for r in sorted({r for r in rooms if r >= sizes[i]}):
+            rest = list(rooms)
+            rest.remove(r)
+            go(i + 1, [*rest, r - sizes[i]])
+        go(i + 1, [*rooms, capacity - sizes[i]])
+
+    go(0, [])
+    return best
+
+
+def test_plan_is_not_worse_than_best_fit():
+    counts = np.zeros(1025, int)
+    counts[[600, 400, 212]] = 200, 400, 400
+    assert sum(n for _, n in packing.best_fit_plan(counts)) == 375
+    patterns = packing.plan(counts)
+    assert sum(n for _, n in patterns) < 375
+    assert sum(n * len(p) for p, n in patterns) == 1000
+
+
+def test_search_without_budget_finds_the_fewest():
+    rng = np.random.default_rng(1)
+    better = 0
+    for _ in range(100):
+        capacity = int(rng.integers(20, 60))
+        sizes = sorted(rng.integers(capacity // 6, capacity // 2 + 1, rng.integers(1, 11)).tolist(), reverse=True)
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        fewest = fewest_by_trial(sizes, capacity)
+        assert packing.bound(counts, capacity) <= fewest
+        assert sum(n for _, n in packing.plan(counts, capacity, None)) == fewest
+        better += sum(n for _, n in packing.best_fit_plan(counts, capacity)) > fewest
+    assert better
+
+
 def test_completion_finds_full_fillings():
     counts = np.zeros(101, int)
     counts[[60, 35, 25, 15]] = [1, 2, 1, 2]
