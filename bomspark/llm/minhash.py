@@ -4,7 +4,9 @@ The distinct shingles of a document are weighted by 1 + ln(occurrences). Each
 shingle is a Poisson process of that rate; an arrival falls on one of the
 registers, a register keeps its first arrival, and a process ends once its next
 arrival is later than every register. Two documents agree on a register with
-the probability Jaccard of their weighted shingles. Registers are banded,
+the probability Jaccard of their weighted shingles. With equal weights that is
+the Jaccard of the sets, however often each repeats its shingles; documents
+that repeat some have a second signature of that kind. Registers are banded,
 documents that share a band are compared by the exact Jaccard of their shingle
 sets, and classes are the connected components of the pairs that pass.
 """
@@ -22,7 +24,7 @@ from .common import byte_views, components, mix, raw, shingles, unused, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 a pair misses every band with probability (1 - 0.8**6)**32 = 6e-5.
+#: At similarity 0.8 a pair misses every band of equal weights with probability (1 - 0.8**6)**32 = 6e-5.
 BANDS, BAND_ROWS = 32, 6
 
 #: Pairs that are verified together.
@@ -65,26 +67,42 @@ def registers(row: np.ndarray, element: np.ndarray, weight: np.ndarray, n_rows:
     return winner.reshape(n_rows, m)
 
 
+def band_keys(sig: np.ndarray, bands: int, band_rows: int) -> np.ndarray:
+    """One key per row and band; bands differ, so do their keys."""
+    sig = sig.reshape(len(sig), bands, band_rows)
+    key = np.arange(1, bands + 1, dtype=_U) + np.zeros((len(sig), 1), _U)
+    for k in range(band_rows):
+        key = mix(key + sig[:, :, k])
+    return key.view(np.int64)
+
+
 def signature_rows(batches, size: int, bands: int, band_rows: int):
-    """doc_id, two hashes of the shingle set, its size, and one key per band."""
+    """doc_id, two hashes of the shingle set, its size, and the keys of its bands:
+    those of equal weights, and those of the weights where they aren't equal."""
     for batch in batches:
-        h1, h2, sizes, keys = [], [], [], []
+        h1, h2, sizes, keys, held = [], [], [], [], []
         for lo, hi, data, offsets in byte_views(batch.column("body")):
-            n = hi - lo
+            n, m = hi - lo, bands * band_rows
             row, sh, weight = weighted_shingles(data, offsets, size)
             ends = np.searchsorted(row, np.arange(n + 1))
             total = lambda x: np.diff(np.r_[_U(0), np.cumsum(x, dtype=_U)][ends]).view(np.int64)
             h1.append(total(mix(sh)))
             h2.append(total(mix(sh ^ _U(0x5851F42D4C957F2D))))
             sizes.append(np.diff(ends))
-            sig = registers(row, sh, weight, n, bands * band_rows).reshape(n, bands, band_rows)
-            key = np.arange(1, bands + 1, dtype=_U) + np.zeros((n, 1), _U)
-            for k in range(band_rows):
-                key = mix(key + sig[:, :, k])
-            keys.append(key.view(np.int64))
-        flat = np.concatenate(keys).reshape(-1) if keys else np.zeros(0, np.int64)
+            both = np.full((n, 2, bands), 0, np.int64)
+            both[:, 0] = band_keys(registers(row, sh, np.ones(len(row)), n, m), bands, band_rows)
+            both[:, 1] = both[:, 0]
+            # without repetition the two signatures are one
+            uneven = np.unique(row[weight > 1])
+            own = np.isin(row, uneven)
+            if len(uneven):
+                both[uneven, 1] = band_keys(registers(np.searchsorted(uneven, row[own]), sh[own], weight[own], len(uneven), m), bands, band_rows)
+            new = np.ones((n, 2, bands), bool)
+            new[:, 1] = both[:, 1] != both[:, 0]
+            keys.append(both[new])
+            held.append(new.sum((1, 2)))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), pa.array(flat))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cat(held))].astype(np.int32)), pa.array(cat(keys)))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cat(h1)), pa.array(cat(h2)), pa.array(cat(sizes)), lists], names=["doc_id", "h1", "h2", "n", "keys"])
 
 

@@ -67,6 +67,18 @@ def test_large_group_and_repeated_ids(docs, prose):
     assert set(got.values()) == {0}
 
 
+def test_unequal_repetition_keeps_pairs(docs, prose):
+    rows = []
+    for k in range(60):
+        shared, line = prose(1000 + k, 104), prose(3000 + k, 5)
+        # a line of its own in each text, repeated; and a text whose half is repeated against the plain one
+        rows += [(4 * k + i, shared + f" {line} {own}" + f" {line} {own}" * n) for i, own, n in ((0, "left", 200), (1, "right", 0))]
+        half = prose(5000 + k, 60)
+        rows += [(4 * k + 2, f"{prose(7000 + k, 60)} {half}"), (4 * k + 3, f"{prose(7000 + k, 60)} " + f"{half} " * 100)]
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs(rows)).collect()}
+    assert got == brute(rows)
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(3)
     el = rng.integers(1, 2**63, 120, dtype=np.uint64)
