@@ -22,9 +22,3 @@ def spark():
 @pytest.fixture()
 def folder():
     return tempfile.mkdtemp(prefix="bomspark-test-")
-
-
-def doc_frame(spark, *texts):
-    from bomspark.sources.documents import typed
-
-    return typed(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "bom_id string, content string"))

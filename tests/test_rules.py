@@ -1,6 +1,6 @@
 import json
 
-from conftest import doc_frame
+from frames import doc_frame
 
 from bomspark.operators import rules as R
 
