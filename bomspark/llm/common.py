@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bomspark.session import cut
+from bomspark.session import cut, scratch_path
 
 #: Bytes of text that one round of array work takes; a longer document is taken alone.
 PART_BYTES = 1 << 20
@@ -147,3 +147,23 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+
+
+class Scratch:
+    """Tables of one job in a folder that all executors share. A written table
+    has a known size, so Spark's own threshold decides whether a join sends it
+    to all tasks; ``drop`` deletes one that no later step reads."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder = spark, scratch_path(spark, label)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(conf).delete(path, True)
