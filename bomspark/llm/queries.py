@@ -93,4 +93,6 @@ ORACLE: dict[str, str] = {
     "op3_url_filter": sql.URL_VERDICTS.replace("PATTERNS", _PATTERNS),
     "op5_warc": sql.WARC_ROUND_TRIP,
     "op9_nearest_vectors": sql.NEAREST_VECTORS,
+    "op11_conversation_trie": sql.CONVERSATION_TRIE,
+    "op13_merkle_manifest": sql.MERKLE_MANIFEST,
 }
