@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8) -> SparkSession:
@@ -45,6 +46,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a query go when the query has ended, not
+    when the driver happens to collect its garbage. For queries whose result is
+    written: a long loop then holds one round's files instead of all."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files that survive the loss
     of any executor."""
@@ -52,7 +67,8 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    with shuffles_removed(spark):
+        return df.checkpoint(eager=True)
 
 
 def is_empty(df: DataFrame) -> bool:
