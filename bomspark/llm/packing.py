@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from collections import deque
 
@@ -32,13 +33,17 @@ GROUP_ROWS = 50_000
 STEPS = 20_000
 
 _SPECIAL = "<|endoftext|>"
+#: White space that the fast tokenizer still takes in one run (it backtracks over it); 2,000,000 are too many for it, 100,000 are not.
+_BLANK_RUN = 50_000
+_BLANKS = re.compile(rf"\s{{{_BLANK_RUN}}}")
 
 
 def tokenizer(path: str):
     """Texts -> id arrays, as ``tokenizers`` gives them for ``path`` without
     special tokens added. The byte-level vocabulary is run by its rank file,
     which has the same ids at several times the speed; a text that holds the
-    vocabulary's special token goes to ``tokenizers`` itself."""
+    vocabulary's special token or a very long run of white space goes to
+    ``tokenizers`` itself."""
     import public_tokenizers
     import tiktoken
     from tokenizers import Tokenizer
@@ -50,8 +55,11 @@ def tokenizer(path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def slow(t: str) -> bool:
+        return _SPECIAL in t or len(t) >= _BLANK_RUN and _BLANKS.search(t) is not None
+
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(plain.encode(t, add_special_tokens=False).ids if _SPECIAL in t else fast.encode_ordinary(t), np.uint32) for t in texts]
+        return [np.array(plain.encode(t, add_special_tokens=False).ids if slow(t) else fast.encode_ordinary(t), np.uint32) for t in texts]
 
     return encode
 
@@ -342,7 +350,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, gro
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Every row of ``docs`` is a document; null and empty texts are the end id
-    alone. Documents of one length are alike, so ties fall by hash of doc_id.
+    alone. Texts of any length and runs of any one character are whole. Documents
+    of one length are alike, so ties fall by hash of doc_id.
     A null doc_id is kept as it is. Rows that repeat are placed each. Empty
     tables give no rows; other columns are ignored."""
     spark = docs.sparkSession
