@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bomspark.session import cut, scratch_path
+from bomspark.session import cut, scratch_path, shuffles_removed
 
 #: Bytes of text that one round of array work takes; a longer document is taken alone.
 PART_BYTES = 1 << 20
@@ -159,7 +159,8 @@ class Scratch:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
