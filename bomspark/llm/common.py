@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bomspark.session import cut, scratch_path, shuffles_removed
+from bomspark.session import scratch_path, shuffles_removed
 
 #: Bytes of text that one round of array work takes; a longer document is taken alone.
 PART_BYTES = 1 << 20
@@ -128,34 +128,13 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, size: int) -> tup
     return out, at
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the undirected ``edges`` (a, b); root is
-    the smallest node of its component. Alternates stars over larger and over
-    smaller neighbours, so each round about halves the distance to the root."""
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
-                e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        seen = now
-        both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-
-
 class Scratch:
     """Tables of one job in a folder that all executors share. A written table
     has a known size, so Spark's own threshold decides whether a join sends it
     to all tasks; ``drop`` deletes one that no later step reads."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.folder = spark, scratch_path(spark, label)
+        self.spark, self.folder, self.made = spark, scratch_path(spark, label), 0
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
@@ -163,8 +142,36 @@ class Scratch:
             df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        return self.put(df, f"cut-{self.made}")
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of the undirected ``edges`` (a, b); root is
+    the smallest node of its component. Alternates stars over larger and over
+    smaller neighbours, so each round about halves the distance to the root.
+    Each round's edges are a written table: a small one is read by few tasks."""
+    scratch = Scratch(edges.sparkSession, "components")
+    e = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
+    seen, turn = None, 0
+    while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen or not now[0]:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+                e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            )
+        seen, turn = now, turn + 1
+        both = e.union(e.select("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = scratch.put(small.union(least.select("a", F.col("m").alias("b"))).distinct(), str(turn))
+        scratch.drop(str(turn - 1))

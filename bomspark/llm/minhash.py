@@ -18,9 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bomspark.session import cut
-
-from .common import byte_views, components, mix, raw, shingles, unused, words
+from .common import Scratch, byte_views, components, mix, raw, shingles, unused, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -123,6 +121,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     Pairs are dealt by b, about PAIRS_PER_DEAL to a deal, and a set goes once to
     each deal that needs it, however many of its pairs are there."""
+    cut = Scratch(pairs.sparkSession, "pairs").cut
     pairs = cut(pairs.select("a", "b"))
     deals = max(1, -(-pairs.count() // PAIRS_PER_DEAL))
     pairs = pairs.withColumn("deal", F.pmod(F.xxhash64("b", F.pmod("a", F.lit(8))), F.lit(deals)))
@@ -130,15 +129,18 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     sent = needed.join(sets, "node").select(F.col("deal").alias("to"), "node", "shingles")
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        # kept in the order of unsigned hashes
-        held = {n: x.view(_U) for n, x in zip(right.node.tolist(), right.shingles, strict=True)}
-        out = np.zeros(len(left), bool)
-        for i, (a, b) in enumerate(zip(left.a.tolist(), left.b.tolist(), strict=True)):
-            x, y = held[a], held[b]
+        # kept in the order of unsigned hashes; a repeated id has several sets
+        held: dict[int, list[np.ndarray]] = {}
+        for n, x in zip(right.node.tolist(), right.shingles, strict=True):
+            held.setdefault(n, []).append(x.view(_U))
+
+        def alike(x: np.ndarray, y: np.ndarray) -> bool:
             if len(x) > len(y):
                 x, y = y, x
             common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            out[i] = common >= similarity * (len(x) + len(y) - common)
+            return common >= similarity * (len(x) + len(y) - common)
+
+        out = [any(alike(x, y) for x in held[a] for y in held[b]) for a, b in zip(left.a.tolist(), left.b.tolist(), strict=True)]
         return left[["a", "b"]].assign(similar=out)
 
     return pairs.groupBy("deal").cogroup(sent.groupBy("to")).applyInPandas(judge, "a long, b long, similar boolean")
@@ -167,6 +169,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     pair by pair across components, unless the shingles that a set has alone
     rule it out. So no link is lost to the star shape."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw(lower=True).alias("body"))
+    cut = Scratch(docs.sparkSession, "near-duplicates").cut
     sig = cut(rows.mapInArrow(lambda b: signature_rows(b, size, bands, band_rows), "doc_id long, h1 long, h2 long, n long, keys array<long>"))
     own = sig.where("n > 0 and doc_id is not null")
     same = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
@@ -201,7 +204,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
             left = mixed.select("node").distinct()
             single = sets.join(left, "node", "left_semi").select("node", F.explode("shingles").alias("s"))
             single = single.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("node")).where("c = 1")
-            alone = cut(left.join(single.groupBy("node").agg(F.count("*").alias("u")), "node", "left").select("node", F.coalesce("u", F.lit(0)).alias("u")))
+            several_sets = sets.groupBy("node").agg(F.count("*").alias("sets")).where("sets > 1")
+            alone = left.join(single.groupBy("node").agg(F.count("*").alias("u")), "node", "left").join(several_sets, "node", "left")
+            alone = cut(alone.select("node", F.when(F.col("sets").isNull(), F.coalesce("u", F.lit(0))).otherwise(0).alias("u")))
         one = mixed.join(alone, "node").where(F.col("n") - F.col("u") >= similarity * F.col("n"))
         one = one.join(heads.select("node", "keys"), "node")
         one = one.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("keys").alias("ka"))
