@@ -7,7 +7,7 @@ from ..functions import scalars as S, sqlfuncs, udx
 from ..model import doc_schema as D, enums as en
 from ..operators import aggs as A, flatten as X, migrate as M, text as T
 from ..session import scratch_path
-from ..sources import documents as docs_io, licenses as lic_io, xml_docs as XD
+from ..sources import documents as docs_io, licenses as lic_io, xml_docs as XD, xml_json as XJ
 from . import corpus as C
 from .q_docs import DEPTH, doc_query
 from .registry import query
@@ -163,6 +163,9 @@ def xml_docs(t):
 
 
 LINE = "CAST(substr(bom_ref, 3) AS INT)"
+_XML_TABLES = """SELECT 'hash' AS kind, bom_ref AS ref, hash_md5 AS value, count(*) AS n FROM component GROUP BY ALL
+UNION ALL SELECT 'license', bom_ref, license_id, count(*) FROM component GROUP BY ALL
+UNION ALL SELECT 'dependency', ref, target, count(*) FROM doc_edge GROUP BY ALL UNION ALL SELECT 'assembly', ref, 'complete', count(*) FROM doc_edge GROUP BY ALL"""
 
 
 @doc_query(
@@ -181,9 +184,7 @@ def _(t):
 
 @doc_query(
     "read_bom_xml_tables",
-    """SELECT 'hash' AS kind, bom_ref AS ref, hash_md5 AS value, count(*) AS n FROM component GROUP BY ALL
-UNION ALL SELECT 'license', bom_ref, license_id, count(*) FROM component GROUP BY ALL
-UNION ALL SELECT 'dependency', ref, target, count(*) FROM doc_edge GROUP BY ALL UNION ALL SELECT 'assembly', ref, 'complete', count(*) FROM doc_edge GROUP BY ALL""",
+    _XML_TABLES,
     "component doc_edge",
 )
 def _(t):
@@ -198,6 +199,23 @@ def _(t):
     return X._union(parts).groupBy("kind", "ref", "value").agg(F.count("*").alias("n"))
 
 
+@doc_query("read_bom_xml_documents", _XML_TABLES, "component doc_edge")
+def _(t):
+    """The same tables by the JSON operators, over XML read as document frames."""
+    out = scratch_path(t.spark, "xml-documents")
+    xml_text(t).write.text(out)
+    raw = t.spark.read.text(out).select(F.col("value").alias("source_path"), F.col("value").alias("content"))
+    d = XJ.xml_documents(raw)
+    el = X.component_elements(d)
+    parts = [
+        X.explode_hashes(el).select(F.lit("hash").alias("kind"), F.col("owner_ref").alias("ref"), "value"),
+        X.explode_licenses(el).select(F.lit("license").alias("kind"), F.col("owner_ref").alias("ref"), "value"),
+        X.explode_dependencies(d).filter("target IS NOT NULL").select(F.lit("dependency").alias("kind"), "ref", F.col("target").alias("value")),
+        X.explode_compositions(d).select(F.lit("assembly").alias("kind"), "ref", F.col("aggregate").alias("value")),
+    ]
+    return X._union(parts).groupBy("kind", "ref", "value").agg(F.count("*").alias("n"))
+
+
 @doc_query(
     "explode_legacy_vulnerabilities",
     """SELECT bom_ref AS ref, concat('CVE-', CAST(package_id AS VARCHAR)) AS id, CAST(package_id % 11 AS DOUBLE) AS score, 'high' AS severity, 'other' AS method, count(*) AS n
