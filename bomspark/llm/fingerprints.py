@@ -75,7 +75,7 @@ def likeness(one: Column, two: Column) -> Column:
     return same.cast("double") / F.size(one)
 
 
-def in_buckets(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def in_buckets(docs: DataFrame) -> DataFrame:
     """Rows (bucket, id, h, doc_id, text) in buckets that follow each other in
     order of (doc_id, hash of the text). Bounds are quantiles of doc_id; rows of
     a doc_id that fills several buckets are split over them by their hash."""
@@ -102,7 +102,7 @@ def in_buckets(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """bucket, key, next_key, doc_id, text and next_text (the text of the next
     document in order of doc_id; after the last the first)."""
-    rows = in_buckets(docs, scratch)
+    rows = in_buckets(docs)
     order = Window.partitionBy("bucket").orderBy("id", "h")
     inside = rows.select("bucket", "doc_id", "text", F.row_number().over(order).alias("at"), F.lead("text").over(order).alias("after"))
     # the first document of each bucket; there are as many as buckets at most
