@@ -207,3 +207,28 @@ DOCUMENT = (
     f"compositions {COMPOSITIONS}, vulnerabilities {VULNERABILITIES}, annotations {ANNOTATIONS}, properties {PROPERTIES}, "
     f"formulation {FORMULATION}, declarations {DECLARATIONS}, definitions {DEFINITIONS}, citations {CITATIONS}"
 )
+
+# Shapes of members that the shapes above leave open or hold in part; read by walks over whole documents.
+_PART = "struct<name string, algorithm string>"
+GRAPHICS = f"struct<description string, collection array<struct<name string, image {ATTACHMENT}>>>"
+OPEN_MEMBERS = {
+    "asserter": f"struct<organization {ORGANIZATION}, individual {CONTACT}, ref string>", "patentAssignee": f"array<{PARTY}>",
+    "environmentVars": "array<struct<name string, value string>>", "externalReference": EXTERNAL_REFERENCES.removeprefix("array<")[:-1],
+    "encr": "array<struct<name string, keyLength int, algorithm string>>", "prf": f"array<{_PART}>", "integ": f"array<{_PART}>",
+    "ke": "array<struct<`group` int, algorithm string>>", "auth": f"array<{_PART}>",
+}
+_OWN_PROPERTIES = f"properties {PROPERTIES}"
+_RESOURCES = f"resourceReferences array<{RESOURCE}>"
+#: Members of a kind of object beside those of its shape.
+MORE_MEMBERS = {
+    **dict.fromkeys(
+        "modelCard environmentalConsiderations energyConsumption workflow task volume steps commands conditions input output".split(),
+        _OWN_PROPERTIES,
+    ),
+    "event": f"{_OWN_PROPERTIES}, data {ATTACHMENT}",
+    "trigger": f"description string, {_OWN_PROPERTIES}, {_RESOURCES}, inputs {INPUTS}, outputs {OUTPUTS}",
+    "workspace": f"description string, {_OWN_PROPERTIES}, {_RESOURCES}",
+    "quantitativeAnalysis": f"graphics {GRAPHICS}", "data": f"graphics {GRAPHICS}, ref string",
+    "evidence.data": f"contents struct<attachment {ATTACHMENT}, url string>", "signatory": "externalReference variant",
+    "vulnerability": "tools variant", "patent": "abstract string",
+}

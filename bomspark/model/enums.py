@@ -85,6 +85,45 @@ ENUMS: dict[str, tuple[str, list[str], bool]] = {
     "cert_state": ("PREDEFINED_STATE_", CERT_STATES, False),
     "energy_activity": ("ACTIVITY_TYPE_", ENERGY_ACTIVITIES, False),
 }
+# Closed lists without a long spelling of their own.
+VALUES = {
+    "affected_status": AFFECTED_STATUS,
+    "license_type": (
+        "academic appliance client-access concurrent-user core-points custom-metric device evaluation named-user node-locked oem "
+        "perpetual processor-points subscription user other"
+    ).split(),
+    "crypto_asset": "algorithm certificate protocol related-crypto-material".split(),
+    "crypto_primitive": (
+        "drbg mac block-cipher stream-cipher signature hash pke xof kdf key-agree kem ae combiner key-wrap other unknown"
+    ).split(),
+    "crypto_mode": "cbc ecb ccm gcm cfb ofb ctr other unknown".split(),
+    "crypto_padding": "pkcs5 pkcs7 pkcs1v15 oaep raw other unknown".split(),
+    "crypto_function": (
+        "generate keygen encrypt decrypt digest tag keyderive sign verify encapsulate decapsulate other unknown"
+    ).split(),
+    "crypto_environment": "software-plain-ram software-encrypted-ram software-tee hardware other unknown".split(),
+    "crypto_platform": (
+        "generic x86_32 x86_64 armv7-a armv7-m armv8-a armv8-m armv9-a armv9-m s390x ppc64 ppc64le other unknown"
+    ).split(),
+    "crypto_material": (
+        "private-key public-key secret-key key ciphertext signature digest initialization-vector nonce seed salt shared-secret "
+        "tag additional-data password credential token other unknown"
+    ).split(),
+    "material_state": "pre-activation active suspended deactivated compromised destroyed".split(),
+    "crypto_protocol": "tls ssh ipsec ike sstp wpa dtls quic eap-aka eap-aka-prime prins 5g-aka other unknown".split(),
+    "trigger_type": "manual api webhook scheduled".split(),
+    "output_type": "artifact attestation log evidence metrics other".split(),
+    "access_mode": "read-only read-write read-write-once write-once write-only".split(),
+    "volume_mode": "filesystem block".split(),
+    "learning_approach": "supervised unsupervised reinforcement-learning semi-supervised self-supervised".split(),
+    "energy_source": "coal oil natural-gas nuclear wind solar geothermal hydropower biofuel unknown other".split(),
+    "patent_status": (
+        "pending granted revoked expired lapsed withdrawn abandoned suspended reinstated opposed terminated invalidated in-force"
+    ).split(),
+    "patent_assertion": (
+        "ownership license third-party-claim standards-inclusion prior-art exclusive-rights non-assertion research-or-evaluation"
+    ).split(),
+}
 # long spellings that do not follow from the short one by upper case and '_'
 LONG_SPELLING = {
     "hash_alg": {

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import scalars as S
 from ..model import doc_schema as D
 from ..session import cut, is_empty
+from . import shred
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -298,16 +299,11 @@ def _props(frame: DataFrame, props: Column, owner: Column, ref: Column) -> DataF
     )
 
 
-def explode_properties(docs: DataFrame, components: DataFrame, services: DataFrame) -> DataFrame:
-    """Name/value rows in document order; names may repeat."""
-    docs = sections(docs)
-    none = F.lit(None).cast("string")
-    own = lambda e: _props(e, F.col("c.properties"), F.col("pointer"), F.col("c")["bom-ref"])
-    vul = docs.select("bom_id", F.posexplode("doc.vulnerabilities").alias("_i", "x"))
-    return _union([
-        _props(docs, F.col("doc.properties"), F.lit(""), none), _props(docs, F.col("doc.metadata.properties"), F.lit("/metadata"), none),
-        own(components), own(services), _props(vul, F.col("x.properties"), at("/vulnerabilities", F.col("_i")), F.col("x")["bom-ref"]),
-    ])
+def explode_properties(docs: DataFrame, components: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
+    """Name/value rows of every object that has properties, in document order;
+    names may repeat. All owners come from one walk over ``docs``; the element
+    frames are taken for older callers and not read."""
+    return shred.properties_of(shred.objects(docs, shred.WANTED_PROPERTIES))
 
 
 def explode_identifiers(elements: DataFrame) -> DataFrame:
@@ -853,72 +849,16 @@ def pointer_table(docs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ reference indexes
 
-def bom_ref_index(docs: DataFrame, components: DataFrame, services: DataFrame) -> DataFrame:
-    """Every declared ref with its element type and pointer."""
-    docs = sections(docs)
-    def top(path: str, element: str, prefix: str) -> DataFrame:
-        return docs.select("bom_id", F.posexplode(path).alias("_i", "x")).select(
-            "bom_id", F.col("x")["bom-ref"].alias("ref"), F.lit(element).alias("element_type"), at(prefix, F.col("_i")).alias("pointer")
-        )
-
-    def inner(path: str, member: str, element: str, prefix: str) -> DataFrame:
-        return docs.select("bom_id", F.posexplode(path).alias("_i", "x")).select("bom_id", "_i", F.posexplode(F.col("x")[member]).alias("_j", "y")).select(
-            "bom_id", F.col("y")["bom-ref"].alias("ref"), F.lit(element).alias("element_type"), at(prefix, F.col("_i"), member, F.col("_j")).alias("pointer")
-        )
-
-    def tasks() -> DataFrame:
-        w = docs.select("bom_id", F.posexplode("doc.formulation").alias("_f", "f")).select("bom_id", "_f", F.posexplode("f.workflows").alias("_w", "w"))
-        return w.select("bom_id", "_f", "_w", F.posexplode("w.tasks").alias("_t", "t")).select(
-            "bom_id", F.col("t")["bom-ref"].alias("ref"), F.lit("task").alias("element_type"),
-            at("/formulation", F.col("_f"), "workflows", F.col("_w"), "tasks", F.col("_t")).alias("pointer"),
-        )
+def bom_ref_index(docs: DataFrame, components: DataFrame | None = None, services: DataFrame | None = None) -> DataFrame:
+    """Every declared ref with its kind of object and pointer, whatever the
+    kind. One walk over ``docs``; the element frames are not read."""
+    return shred.refs_of(shred.objects(docs, shred.wanted_refs()))
 
-    own = lambda e, n: e.select("bom_id", F.col("c")["bom-ref"].alias("ref"), F.lit(n).alias("element_type"), "pointer")
-    lic = lambda e: explode_licenses(e).select("bom_id", F.col("bom_ref").alias("ref"), F.lit("license").alias("element_type"), at(F.col("owner_pointer"), "licenses", F.col("position")).alias("pointer"))
-    parts = [
-        own(components, "component"), own(services, "service"), lic(components), lic(services),
-        top("doc.vulnerabilities", "vulnerability", "/vulnerabilities"), top("doc.compositions", "composition", "/compositions"),
-        top("doc.annotations", "annotation", "/annotations"), top("doc.citations", "citation", "/citations"),
-        top("doc.formulation", "formula", "/formulation"), inner("doc.formulation", "workflows", "workflow", "/formulation"), tasks(),
-        top("doc.declarations.assessors", "assessor", "/declarations/assessors"), top("doc.declarations.claims", "claim", "/declarations/claims"),
-        top("doc.declarations.evidence", "evidence", "/declarations/evidence"), top("doc.definitions.standards", "standard", "/definitions/standards"),
-        inner("doc.definitions.standards", "requirements", "requirement", "/definitions/standards"),
-        inner("doc.definitions.standards", "levels", "level", "/definitions/standards"), top("doc.definitions.patents", "patent", "/definitions/patents"),
-    ]
-    return _union(parts).filter("ref IS NOT NULL")
 
-
-def ref_use_index(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """Every in-document reference with the field that holds it."""
-    docs = sections(docs)
-    def use(frame: DataFrame, field: str, target: Column) -> DataFrame:
-        return frame.select("bom_id", F.lit(field).alias("field"), target.alias("target")).filter("target IS NOT NULL")
-
-    dep = explode_dependencies(docs)
-    decl = explode_declarations(docs)
-    std = explode_standards(docs)
-    comp = explode_compositions(docs)
-    cit = explode_citations(docs)
-    pat = explode_patents(docs, components)
-    parts = [
-        use(dep.select("bom_id", "ref").distinct(), "dependency.ref", F.col("ref")),
-        use(dep.filter("kind = 'dependsOn'"), "dependency.dependsOn", F.col("target")),
-        use(dep.filter("kind = 'provides'"), "dependency.provides", F.col("target")),
-        use(comp, "composition", F.col("ref")), use(explode_vulnerabilities(docs)["affects"], "affects.ref", F.col("ref")),
-        use(explode_annotations(docs), "annotation.subject", F.col("subject")),
-        use(decl["attestation_map"], "attestation.requirement", F.col("requirement")),
-        use(decl["attestation_map"].select("bom_id", "attestation", "assessor").distinct(), "attestation.assessor", F.col("assessor")),
-        use(decl["map_claim"], "attestation.claim", F.col("claim")), use(decl["claim"], "claim.target", F.col("target")),
-        use(decl["claim_evidence"], "claim.evidence", F.col("evidence")), use(std["requirement"], "requirement.parent", F.col("parent")),
-        use(std["level_requirement"], "level.requirement", F.col("requirement")),
-        use(cit.select("bom_id", "position", "attributed_to").distinct(), "citation.attributedTo", F.col("attributed_to")),
-        use(cit.select("bom_id", "position", "process").distinct(), "citation.process", F.col("process")),
-        use(pat["patent_family_member"], "family.member", F.col("member")), use(pat["patent_assertion"], "assertion.patent", F.col("target")),
-        use(evidence_identity(components).select("bom_id", F.explode("tools").alias("t")), "identity.tool", F.col("t")),
-        use(explode_crypto(components)["crypto_relation"], "crypto", F.col("target")),
-        use(explode_formulation(docs)["task_edge"], "task.dependsOn", F.col("target")),
-    ]
-    return _union(parts)
+def ref_use_index(docs: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """Every in-document reference with the field that holds it, one row a use.
+    One walk over ``docs``; the element frame is not read."""
+    return shred.uses_of(shred.objects(docs, shred.wanted_uses())).select("bom_id", "field", "target")
 
 
 # ------------------------------------------------------------------ defaults, trees

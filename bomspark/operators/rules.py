@@ -319,14 +319,16 @@ class RuleSet:
 def validate(docs: DataFrame, known_licenses: DataFrame | None = None, bom_format: str | None = None) -> DataFrame:
     """All rules on parsed JSON documents. ``bom_format`` is the text the
     ``bomFormat`` member has to hold, if it is to be checked."""
-    from . import flatten as X
+    from . import flatten as X, shape_rules as V, shred as H
 
     good = F.col("doc").isNotNull() & F.try_parse_json("content").isNotNull() & F.ltrim("content").startswith("{")
     unreadable = _emit(docs.filter(~good), "unreadable", ERROR, F.lit(""), F.lit(None).cast("string"))
     # the typed view is parsed once and shared by all rules
     docs = cut(docs.filter(good).select("bom_id", "content", "doc"))
     ver = docs.select("bom_id", F.col("doc.specVersion").alias("spec_version"))
-    comp, serv = X.component_elements(docs, with_members=True), X.service_elements(docs, with_members=True)
+    comp, serv = X.component_elements(docs), X.service_elements(docs)
+    # one walk for references, their uses, properties and the rules over values
+    objs = cut(H.objects(docs, H.merged(V.wanted(), H.wanted_refs(), H.wanted_uses(), H.WANTED_PROPERTIES)))
     table = X.flatten_components(comp).join(ver, "bom_id")
     d = F.col("doc")
     boms = docs.select(
@@ -352,14 +354,14 @@ def validate(docs: DataFrame, known_licenses: DataFrame | None = None, bom_forma
     lic_raw = _license_choices(docs, comp, serv)
     dep = docs.select("bom_id", F.posexplode("doc.dependencies").alias("_i", "n")).select("bom_id", F.concat(F.lit("/dependencies/"), F.col("_i").cast("string")).alias("pointer"), F.col("n.ref").alias("ref"))
     refs_ext = X.explode_external_references(docs, comp, serv).join(ver, "bom_id").withColumnRenamed("owner_pointer", "pointer")
-    props = X.explode_properties(docs, comp, serv).withColumnRenamed("owner_pointer", "pointer")
+    props = H.properties_of(objs).withColumnRenamed("owner_pointer", "pointer")
     patches = X.pedigree_patches(comp).withColumnRenamed("owner_pointer", "pointer")
     issues = X.pedigree_issues(X.pedigree_patches(comp)).withColumnRenamed("owner_pointer", "pointer")
     flows = X.explode_data_flows(serv).withColumnRenamed("owner_pointer", "pointer").withColumnRenamed("direction", "flow").join(ver, "bom_id")
     services = X.flatten_services(serv)
     vul = X.explode_vulnerabilities(docs)
     at = lambda p: F.concat(F.lit(p), F.col("position").cast("string"))
-    refs = X.bom_ref_index(docs, comp, serv)
+    refs = H.refs_of(objs)
     notes = X.release_note_texts(X.release_notes(comp))
     ident = X.evidence_identity(comp).withColumnRenamed("owner_pointer", "pointer")
     decl = X.explode_declarations(docs)["attestation_map"]
@@ -380,15 +382,14 @@ def validate(docs: DataFrame, known_licenses: DataFrame | None = None, bom_forma
         check_rows(vul["rating"], [enum("severity", "severity", None), enum("method", "score_method", None)], at("/vulnerabilities/")),
         check_rows(vul["analysis"], [enum("state", "analysis_state", None), enum("justification", "justification", None), *vex_rules()], at("/vulnerabilities/")),
         check_rows(vul["affects"], [choice("affected version", F.col("version"), F.col("vers_range"), at_least=0)], at("/vulnerabilities/")),
-        check_rows(X.explode_compositions(docs), [enum("aggregate", "aggregate", None)], at("/compositions/")),
         check_rows(notes, [pattern("locale", "locale")], "owner_pointer"),
         check_rows(ident, [bounded("confidence", 0, 1), enum("field", "evidence_field", None)]),
         check_rows(decl, [bounded("conformance_score", 0, 1), bounded("confidence_score", 0, 1)], at("/declarations/attestations/map/")),
         check_rows(std.withColumn("cre", F.explode_outer("open_cre")), [pattern("cre", "cre")], "bom_ref"),
         check_rows(life, [choice("lifecycle", F.col("phase"), F.col("name")), enum("phase", "lifecycle_phase", None)], at("/metadata/lifecycles/")),
         check_rows(ann, [choice("annotator", *[F.col("a.annotator")[k] for k in ("organization", "individual", "component", "service")])], at("/annotations/")),
-        citation_source(docs), requirement_parent(std), ref_unique(refs, WARNING), ref_dangling(X.ref_use_index(docs, comp), refs),
-        unknown_fields(docs, comp, serv), deprecated_fields(docs, comp), crypto_rules(comp), unique_items(comp, ver), unique_items(serv, ver),
+        citation_source(docs), requirement_parent(std), ref_unique(refs, WARNING), ref_dangling(H.uses_of(objs), refs),
+        V.check_objects(objs), deprecated_fields(docs, comp), crypto_rules(comp), unique_items(comp, ver), unique_items(serv, ver),
         check_rows(X.evidence_methods(X.evidence_identity(comp)).withColumnRenamed("owner_pointer", "pointer"), [bounded("confidence", 0, 1), enum("technique", "technique", None)]),
     ]
     if known_licenses is not None:

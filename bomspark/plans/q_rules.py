@@ -346,6 +346,13 @@ DEFECTS = (
     ('{"specVersion":"1.10","version":1,"components":[{"type":"data","name":"n"}]}', None),
     ('{"specVersion":"1.3","version":1,"components":[{' + _PART + "},{" + _PART + "}]}", "unique_items"),
     (_HEAD + '"components":[{' + _PART + '}],"dependencies":[{"ref":"gone","dependsOn":["lost"]}]}', None),
+    (_HEAD + '"components":[{"type":"cryptographic-asset","name":"n","cryptoProperties":{"assetType":"gizmo"}}]}', "enum"),
+    (_HEAD + '"vulnerabilities":[{"id":"V-1","created":"banana"}]}', "timestamp"),
+    (_HEAD + '"vulnerabilities":[{"id":"V-1","gizmo":1}]}', "unknown_field"),
+    (_HEAD + '"compositions":[{"aggregate":"gizmo"}]}', "enum"),
+    (_HEAD + '"dependencies":[{"ref":"a","gizmo":"b"}]}', "unknown_field"),
+    (_HEAD + '"formulation":[{"workflows":[{"bom-ref":"w","uid":"w","tasks":[{"taskTypes":["build","gizmo"]}]}]}]}', "enum"),
+    (_HEAD + '"components":[{' + _PART + ',"supplier":{"bom-ref":"s","name":"s"}}]}', None),
 )
 
 
