@@ -3,8 +3,10 @@
 Rules give the base spans of four kinds. The field's nodes are the tokens of a
 document that hold a digit or an at sign, labelled with a kind or as other.
 Chain edges join neighbouring tokens; skip edges join each token to the next
-one of equal letters and digits, however far away, so that repeated entities
-share potentials. All potentials are indicator weights in closed form (label
+one that is equal or similar, however far away, so that repeated and kindred
+entities share potentials. Equal means the same letters and digits; similar the
+same domain (behind an at sign) or the same digits but for the last block. A token has one edge of either sort at most to each side, so
+edges grow with the tokens, whatever repeats. All potentials are indicator weights in closed form (label
 given shape; log odds of label pairs on either sort of edge), counted over the
 whole corpus with the base spans as labels. Loopy sum-product messages give the
 marginals; tokens that they label with a kind become further spans.
@@ -38,6 +40,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
+_RUN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
+_DIGITS = re.compile(r"[0-9]+")
 _EDGE = "()[]{}<>\"'.,;:!?|*%#&$"
 
 
@@ -78,17 +82,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape(token: str) -> int:
-    """Class of a token: its runs of digits (by length), letters and marks."""
+    """Class of a token: its runs of digits (by length), letters and marks, over all of it."""
     runs = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", token[:64], re.S):
+    for m in _RUN.finditer(token):
         x = m[0]
         if x[0].isdigit() and x.isascii():
-            runs.append(f"9{min(len(x), 20)}")
+            runs.append(f"9{len(x)}")
         elif x[0].isalpha():
             runs.append("a")
         elif not runs or runs[-1] != x:
             runs.append(x)
-    return zlib.crc32(f"{' '.join(runs[:12])} {len(token) > 64}".encode()) % N_SHAPES
+    return zlib.crc32(" ".join(runs).encode()) % N_SHAPES
+
+
+def likeness(token: str, form: int) -> tuple[int, str] | None:
+    """What similar tokens share: the domain of an address, the blocks of a
+    number but for its last one, or the form of a single block and its digits
+    but for the last four. None where too little (under three digits, no
+    domain) would be shared."""
+    if "@" in token:
+        domain = token.rsplit("@", 1)[1].lower().strip(".")
+        return (-1, domain) if domain else None
+    blocks = _DIGITS.findall(token)
+    if len(blocks) > 1:
+        return (-len(blocks), ".".join(blocks[:-1])) if sum(map(len, blocks[:-1])) >= 3 else None
+    shared = blocks[0][:-4] if blocks else ""
+    return (form, shared) if len(shared) >= 3 else None
 
 
 class Graph:
@@ -106,6 +125,7 @@ class Graph:
             self.base.append(spans)
             by_start = sorted((a, b, k) for k, a, b in spans)
             seen: dict[str, int] = {}
+            alike: dict[tuple[int, str], int] = {}
             at, before, order = 0, -1, -2
             for number, m in enumerate(_TOKEN.finditer(text)):
                 token = m[0]
@@ -120,12 +140,17 @@ class Graph:
                 b = a + len(core)
                 while at < len(by_start) and by_start[at][1] <= a:
                     at += 1
-                kinds = [k for s, e, k in by_start[at : at + 4] if s < b and e > a]
+                kinds, i = [], at
+                while i < len(by_start) and by_start[i][0] < b:
+                    if by_start[i][1] > a:
+                        kinds.append(by_start[i][2])
+                    i += 1
                 me = len(self.doc)
                 self.doc.append(d)
                 self.start.append(a)
                 self.end.append(b)
-                self.shape.append(shape(core))
+                form = shape(core)
+                self.shape.append(form)
                 self.label.append(min(kinds, default=OTHER))
                 if order == number - 1:
                     chain.append((before, me))
@@ -134,6 +159,13 @@ class Graph:
                 if key:
                     if key in seen and (seen[key], me) not in chain[-1:]:
                         skip.append((seen[key], me))
+                    like = likeness(core, form)
+                    if like:
+                        other = alike.get(like)
+                        # an equal token has its edge already
+                        if other is not None and other != seen.get(key) and (other, me) not in chain[-1:]:
+                            skip.append((other, me))
+                        alike[like] = me
                     seen[key] = me
         self.edges = np.array([*chain, *skip], np.int64).reshape(-1, 2)
         self.kind = np.r_[np.zeros(len(chain), int), np.ones(len(skip), int)]
@@ -238,7 +270,8 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base counts by kind, base_sha256 and spans for every row.
 
     Null and empty texts have no spans (the digest of the empty string, empty
-    spans). Rows that repeat get equal results; other columns are ignored;
+    spans). Texts of any length are one field; very long tokens are read to
+    their end. Rows that repeat get equal results; other columns are ignored;
     empty tables give no rows. Offsets are code points."""
     share = docs.sparkSession.sparkContext.broadcast(field or fit(docs))
 
