@@ -517,6 +517,38 @@ def _(t):
     return T.observe_licenses(t.raw("documents"))
 
 
+# Ids and names of a license list, and the phrases that texts may use for them.
+LISTED = [
+    ("Apache-2.0", "Apache License 2.0"), ("MIT", "MIT License"), ("GPL-3.0-only", "GNU General Public License v3.0 only"),
+    ("GPL-3.0-or-later", "GNU General Public License v3.0 or later"), ("CC-BY-NC-4.0", "Creative Commons Attribution Non Commercial 4.0 International"),
+    ("ISC", "ISC License"),
+]
+SPOKEN = [
+    ("Apache-2.0", "apache license 2 0|apache 2 0|apache license 2|apache 2|apachev2|apache2"), ("MIT", "mit license|license mit|identifier mit|expat license"),
+    ("GPL-3.0-only", "gnu general public license 3 0 only|gnu general public license 3 0|gnu general public license 3|gpl 3 0 only|gpl 3 0|gpl 3|gplv3|gpl3"),
+    ("GPL-3.0-or-later", "gnu general public license 3 0 or later|gnu general public license 3 or later|gpl 3 0 or later|gpl 3 or later"),
+    ("CC-BY-NC-4.0", "creative commons attribution non commercial 4 0 international|cc by nc 4 0|cc by nc 4"), ("ISC", "isc license|license isc|identifier isc"),
+    ("BSD", "bsd license|bsd style license"), ("BSD-2-Clause", "simplified bsd license"), ("BSD-3-Clause", "new bsd license|modified bsd license"),
+]
+# no phrase begins where another does without being its prefix, so the longer one has to be looked for first
+SPOKEN_SQL = (
+    r"""n AS (SELECT doc_id, concat(' ', array_to_string(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('the', 'version', 'v')),
+lambda w: CASE WHEN w = 'licence' THEN 'license' WHEN regexp_full_match(w, 'v[0-9]+') THEN substr(w, 2) ELSE w END), ' '), ' ') AS t FROM documents), """
+    "g AS (SELECT doc_id, t, regexp_replace(t, ' (gnu general public license|gpl) 3( 0)? or later ', ' GPLLATER ', 'g') AS u FROM n), "
+    "f AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, '{i}' AS license_id FROM g WHERE " + ("contains(u, 'GPLLATER')" if i.endswith("later") else f"regexp_matches(u, ' ({alternatives}) ')")
+        for i, alternatives in SPOKEN
+    )
+    + ") SELECT DISTINCT doc_id, license_id FROM f"
+)
+
+
+@query("observe_listed_licenses", SPOKEN_SQL)
+def _(t):
+    return T.observe_listed_licenses(t.raw("documents"), t.spark.createDataFrame(LISTED, "license_id string, name string"))
+
+
 @query(
     "extract_copyright",
     r"""x AS (SELECT doc_id, unnest(regexp_extract_all(concat(text, chr(10), 'Copyright (c) 2024 ', source, chr(10), '© ', lang), '(?i)((?:copyright|\(c\)|©)[^\n]*)', 1)) AS s FROM documents) SELECT doc_id, trim(s) AS statement FROM x""",
