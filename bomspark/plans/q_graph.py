@@ -88,6 +88,26 @@ def _(t):
     return sets.alias_groups(t.vulnerability, alias_keys())
 
 
+_BLOCK = "(p_partkey // 5)"
+
+
+@query(
+    "alias_groups_by_reference",
+    f"""SELECT CAST(p_partkey AS BIGINT) AS vuln_key, CAST(CASE WHEN {_BLOCK} % 4 < 2 THEN {_BLOCK} // 4 * 20 ELSE {_BLOCK} * 5 END AS BIGINT) AS group_key
+FROM part""",
+)
+def _(t):
+    # a record a part; five in a row name the next one each, two such chains of twenty share an id that no record bears
+    k = F.col("p_partkey").cast("bigint")
+    block = F.expr("p_partkey div 5")
+    parts = t.raw("part")
+    vulns = parts.select(k.alias("vuln_key"), F.concat(F.lit("V-"), k.cast("string")).alias("id"))
+    following = F.when(k % 5 < 4, F.concat(F.lit(" v-"), (k + 1).cast("string")))
+    shared = F.when((k % 5 == 2) & (block % 4 < 2), F.concat(F.lit("G-"), F.expr("p_partkey div 20").cast("string")))
+    references = parts.select(k.alias("vuln_key"), F.explode(F.array_compact(F.array(following, shared))).alias("id"))
+    return sets.reference_groups(vulns, references).select("vuln_key", "group_key")
+
+
 def alias_keys():
     return [F.col("package_id"), F.col("source_name"), F.to_date("published_at")]
 

@@ -107,3 +107,18 @@ def test_one_document_is_one_row(spark):
     boms = spark.createDataFrame([(1, "urn:uuid:s", 1, "1.7", "build", "RED")], "bom_id long, serial_number string, version int, spec_version string, lifecycle_phase string, tlp string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
     comps = spark.range(20_000).select(F.lit(1).cast("long").alias("bom_id"), F.col("id").cast("string").alias("bom_ref"), F.lit("file").alias("type"), F.lit("n").alias("name"))
     assert IO.bom_documents(boms, comps).count() == 1
+
+
+def test_reference_groups_follow_chains(spark):
+    v = spark.createDataFrame([(1, "A"), (2, "b"), (3, "C"), (4, None), (5, "E"), (6, "A "), (None, "A"), (7, "H"), (1, "A")], "vuln_key long, id string")
+    r = spark.createDataFrame([(1, "B"), (2, "c"), (5, "GHSA-x"), (4, "ghsa-X"), (9, "A"), (7, ""), (7, None)], "vuln_key long, id string")
+    got = {x.vuln_key: x.group_key for x in sets.reference_groups(v, r).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 6: 1, 4: 4, 5: 4, 7: 7}
+    assert sets.reference_groups(v.limit(0), r).count() == 0
+
+
+def test_reference_groups_of_a_shared_id_stay_linear(spark):
+    v = spark.range(20_000).selectExpr("id AS vuln_key", "concat('V-', id) AS id")
+    r = v.selectExpr("vuln_key", "'shared' AS id")
+    assert sets.reference_edges(v, r).count() == 39_999
+    assert sets.reference_groups(v, r).filter("group_key = 0").count() == 20_000
