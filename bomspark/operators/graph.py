@@ -133,16 +133,17 @@ def dependency_cycles(edges: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
     """One shortest path from a start node to each reachable node. A node keeps
     its smallest predecessor of the level before; the path text grows by one
-    step per level and is carried by one row per node."""
+    step per level and is carried by one row per node. The joins of a level are
+    merges: a broadcast would take its paths, and all nodes seen, through the driver."""
     e = cut(edges.select("src", "dst").distinct())
     frontier = cut(start.select("node", F.col("node").cast("string").alias("path")).distinct())
     levels = [frontier.withColumn("depth", F.lit(0))]
     while True:
         seen = _union([lv.select("node") for lv in levels])
         step = (
-            e.join(frontier.withColumnRenamed("node", "src"), "src")
+            e.join(frontier.withColumnRenamed("node", "src").hint("merge"), "src")
             .groupBy(F.col("dst").alias("node")).agg(F.min_by("path", "src").alias("path"))
-            .join(seen, "node", "left_anti")
+            .join(seen.hint("merge"), "node", "left_anti")
             .select("node", F.concat("path", F.lit(">"), F.col("node").cast("string")).alias("path"))
         )
         frontier = cut(step)

@@ -73,7 +73,7 @@ def _(t):
     # back edges lead to nearer nodes, so they are on no shortest path from a root
     e = edges(t)
     hit = t.vulnerability.filter("severity = 'critical'").select(F.col("package_id").alias("node")).distinct()
-    return G.shortest_paths(e, G.graph_roots(e)).join(hit, "node", "left_semi")
+    return G.shortest_paths(e, G.graph_roots(e)).join(hit.hint("merge"), "node", "left_semi")
 
 
 DAY = "CAST(published_at AS DATE)"
