@@ -69,3 +69,20 @@ def test_document_lines_are_packed(spark, tmp_path):
     write_bom_json(spark.range(3).select(F.format_string('{"version":%d}', "id").alias("content")), f"{tmp_path}/o")
     assert all(n.endswith(".gz") for n in os.listdir(f"{tmp_path}/o") if n.startswith("part-"))
     assert {r.value for r in spark.read.text(f"{tmp_path}/o").collect()} == {f'{{"version":{i}}}' for i in range(3)}
+
+
+def test_shortest_paths_send_nothing_to_all(spark):
+    from bomspark.operators import graph as G
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4)], "src long, dst long")
+    start = spark.createDataFrame([(1,)], "node long")
+    sent = []
+    kept = G.cut
+    G.cut = lambda df: (sent.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df))[1]
+    try:
+        rows = {r.node: (r.path, r.depth) for r in G.shortest_paths(edges, start).collect()}
+    finally:
+        G.cut = kept
+    assert rows == {1: ("1", 0), 2: ("1>2", 1), 3: ("1>3", 1), 4: ("1>3>4", 2)}
+    joins = [line for plan in sent for line in plan.split("\n") if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
