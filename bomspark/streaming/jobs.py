@@ -159,9 +159,9 @@ class ExpiryAlerts(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         end = max(int(pdf["end_ms"].max()) for pdf in rows)
-        if self.end.exists():
-            known = int(self.end.get()[0])
-            if end <= known:
+        known = self.end.get()  # each call is a trip to the state server
+        if known is not None:
+            if end <= int(known[0]):
                 return  # the timer stands, or the alert has been given
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
@@ -170,8 +170,8 @@ class ExpiryAlerts(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = int(self.end.get()[0])
-        self.end.update((end, True))
+        # a key has one timer, set by its end; the end stays, so nobody is alerted twice
+        end = int(expiredTimerInfo.getExpiryTimeInMs()) + self.lead_ms
         yield pd.DataFrame({"cert_id": [int(key[0])], "end_ms": [end]})
 
     def close(self) -> None:

@@ -86,3 +86,55 @@ def test_shortest_paths_send_nothing_to_all(spark):
     assert rows == {1: ("1", 0), 2: ("1>2", 1), 3: ("1>3", 1), 4: ("1>3>4", 2)}
     joins = [line for plan in sent for line in plan.split("\n") if "Join " in line]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_expiry_alert_takes_few_state_calls():
+    import pandas as pd
+
+    from bomspark.streaming.jobs import ExpiryAlerts
+
+    calls, timers, held = [], [], {}
+
+    class State:
+        def exists(self):
+            calls.append("exists")
+            return "end" in held
+
+        def get(self):
+            calls.append("get")
+            return held.get("end")
+
+        def update(self, v):
+            calls.append("update")
+            held["end"] = v
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State()
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+        def listTimers(self):
+            return iter(list(timers))
+
+        def deleteTimer(self, at):
+            timers.remove(at)
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return timers[0]
+
+    p = ExpiryAlerts(10)
+    p.init(Handle())
+    rows = lambda end: iter([pd.DataFrame({"end_ms": [end]})])
+    list(p.handleInputRows((1,), rows(100), None))
+    assert (calls, timers) == (["get", "update"], [90])
+    list(p.handleInputRows((1,), rows(200), None))
+    list(p.handleInputRows((1,), rows(150), None))
+    assert timers == [190]
+    n = len(calls)
+    (alert,) = p.handleExpiredTimer((1,), None, Expired())
+    assert alert.to_dict("list") == {"cert_id": [1], "end_ms": [200]} and len(calls) == n
+    list(p.handleInputRows((1,), rows(200), None))
+    assert timers == [190]
