@@ -222,16 +222,26 @@ def workflow_durations(tasks: DataFrame, by: str, start: str, end: str) -> DataF
     )
 
 
-def property_pivot(properties: DataFrame, names: list[str]) -> DataFrame:
+def property_pivot(properties: DataFrame, names: list[str], with_refs: bool = False) -> DataFrame:
     """Selected property names as columns; a name may repeat, so each column
-    is the list of values in document order, joined by ``|``."""
+    is the list of values in document order, joined by ``|``. ``with_refs`` adds
+    ``owner_ref`` out of the same rows, one row per owner: owners that share a
+    pointer (copies of a document) share their values."""
     kept = properties.filter(F.col("name").isin(names))
 
     def values(n: str):
         entries = F.array_sort(F.collect_list(F.when(F.col("name") == n, F.struct("position", "value"))))
         return F.array_join(F.transform(entries, lambda e: e["value"]), "|").alias(n)
 
-    return kept.groupBy("bom_id", "owner_pointer").agg(*[values(n) for n in names])
+    if not with_refs:
+        return kept.groupBy("bom_id", "owner_pointer").agg(*[values(n) for n in names])
+    # each owner has its first place once
+    places = F.collect_list(F.struct("position", "owner_ref")).alias("_places")
+    first = F.filter("_places", lambda p: p["position"] == F.array_min(F.transform("_places", lambda q: q["position"])))
+    got = kept.groupBy("bom_id", "owner_pointer").agg(*[values(n) for n in names], places)
+    return got.select("bom_id", "owner_pointer", *names, first.alias("_first")).select(
+        "bom_id", "owner_pointer", *names, F.explode("_first").alias("_o")
+    ).select("bom_id", "owner_pointer", F.col("_o.owner_ref").alias("owner_ref"), *names)
 
 
 def noisy_or(methods: DataFrame, keys: list[str], confidence: str = "confidence") -> DataFrame:
