@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -178,17 +179,73 @@ class ExpiryAlerts(StatefulProcessor):
         pass
 
 
+#: Keys of the alerts' state. A group's certificates are one packed value, so a batch takes calls a group, not a certificate.
+ALERT_GROUPS = 1024
+
+
+class GroupedExpiryAlerts(StatefulProcessor):
+    """What :class:`ExpiryAlerts` does, for all certificates whose ids hash to
+    a group: 17 bytes of state a certificate, and one timer a group at the first
+    alert that is still to be given. Rows without an end tell nothing."""
+
+    def __init__(self, lead_ms: int):
+        self.lead_ms = lead_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("ends", "ids binary, ends binary, alerted binary, timer long")
+
+    def _known(self) -> tuple[pd.DataFrame, int | None]:
+        held = self.held.get()
+        if held is None:
+            held = (b"", b"", b"", None)
+        ids, ends, alerted = (np.frombuffer(bytes(b), kind) for b, kind in zip(held, ("<i8", "<i8", "?")))
+        return pd.DataFrame({"cert_id": ids, "end_ms": ends, "alerted": alerted}), held[3]
+
+    def _keep(self, known: pd.DataFrame, timer: int | None, fired: bool = False) -> None:
+        """Sets the timer to the first alert still to be given."""
+        open_ = known["end_ms"][~known["alerted"]]
+        first = int(open_.min()) - self.lead_ms if len(open_) else None
+        if fired or first != timer:
+            if timer is not None and not fired:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        packed = [known[c].to_numpy(kind).tobytes() for c, kind in (("cert_id", "<i8"), ("end_ms", "<i8"), ("alerted", "?"))]
+        self.held.update((*packed, first))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        told = [pdf[["cert_id", "end_ms"]].dropna().astype("int64").groupby("cert_id", as_index=False).max() for pdf in rows]
+        new = pd.concat(told).assign(alerted=False)
+        if len(new):
+            known, timer = self._known()
+            # the latest end of a certificate counts; an equal one keeps the alert that has been given
+            every = pd.concat([known, new]).sort_values(["cert_id", "end_ms", "alerted"], kind="stable")
+            self._keep(every.drop_duplicates("cert_id", keep="last"), timer)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known, timer = self._known()
+        due = ~known["alerted"] & (known["end_ms"] - self.lead_ms <= timerValues.getCurrentWatermarkInMs())
+        self._keep(known.assign(alerted=known["alerted"] | due), timer, fired=True)
+        yield known.loc[due, ["cert_id", "end_ms"]]
+
+    def close(self) -> None:
+        pass
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def expiry_alerts(certificates: DataFrame, lead_days: int = 30, delay: str = "1 day") -> DataFrame:
+def expiry_alerts(certificates: DataFrame, lead_days: int = 30, delay: str = "1 day", groups: int = ALERT_GROUPS) -> DataFrame:
     """``certificates(cert_id, at, not_valid_after)`` -> certificates whose end
-    is at most ``lead_days`` ahead of the watermark."""
+    is at most ``lead_days`` ahead of the watermark. A restart has to keep ``groups``."""
     certificates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     end_ms = F.unix_millis("not_valid_after").alias("end_ms")
-    keyed = certificates.withWatermark("at", delay).select("cert_id", "at", end_ms).groupBy("cert_id")
+    group = F.pmod(F.xxhash64("cert_id"), F.lit(groups)).alias("group")
+    keyed = certificates.withWatermark("at", delay).select(group, "cert_id", "at", end_ms).groupBy("group")
     return keyed.transformWithStateInPandas(
-        ExpiryAlerts(lead_days * 86_400_000), "cert_id long, end_ms long", "append", "eventtime"
+        GroupedExpiryAlerts(lead_days * 86_400_000), "cert_id long, end_ms long", "append", "eventtime"
     ).select("cert_id", F.timestamp_millis("end_ms").alias("not_valid_after"))
 
 
